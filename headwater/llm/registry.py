@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, toxicity
+from . import ngram_lm, quality, simhash, toxicity
 from .common import fold_bucket
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_lm.lm_scores(table(spark, sf_dir, "documents"), fold_bucket(F.col("doc_id"), 5) != 1)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = quality.quality_scores(docs, labels, lambda i: fold_bucket(i, 5) != 0)
@@ -34,7 +39,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_pu, op5_toxicity_ftrl, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_lm_elias_fano, op3_quality_pu, op5_toxicity_ftrl, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
