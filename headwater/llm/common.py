@@ -75,3 +75,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20)
         step = -(-batch.num_rows // pieces)
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """Marks a written table for broadcasting if it has so few rows; else the join shuffles both sides."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_lm, quality, simhash, toxicity
+from . import decontamination, line_dedup, ngram_lm, quality, simhash, toxicity
 from .common import fold_bucket
 
 
@@ -20,6 +20,11 @@ def op1_lm_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = quality.quality_scores(docs, labels, lambda i: fold_bucket(i, 5) != 0)
@@ -33,14 +38,20 @@ def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("windows").alias("windows"))
+    return best.select("doc_id", "item_id", "similarity", "windows")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_elias_fano, op3_quality_pu, op5_toxicity_ftrl, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_lm_elias_fano, op2_line_dedup, op3_quality_pu, op5_toxicity_ftrl, op7_benchmark_decontamination, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.SQL}
