@@ -85,10 +85,12 @@ def similarity(a: Column, b: Column) -> Column:
 
 def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> DataFrame:
     """items: (item_id, item_words, n), all with shingles of ``width``."""
-    items = items.withColumn("item_hashes", _shingle_hashes(F.col("item_words"), width))
+    items = cut(items.withColumn("item_hashes", _shingle_hashes(F.col("item_words"), width)), "bench-hashed")
     known = cut(items.select("n", F.explode("item_hashes").alias("h")).distinct(), "bench-shingles")
     hashed = docs.select("doc_id", "text_key", _shingle_hashes(F.col("words"), width).alias("hashes"))
-    placed = hashed.select("doc_id", "text_key", F.size("hashes").alias("m"), F.posexplode("hashes").alias("p", "h"))
+    # The outer forms: from explode() Spark infers a filter, pushes it below the columns that it reads, and so
+    # would split a text again for each of its words.
+    placed = hashed.select("doc_id", "text_key", F.size("hashes").alias("m"), F.posexplode_outer("hashes").alias("p", "h"))
     hits = placed.join(broadcast_if_small(known, MOST_BROADCAST), "h").select("doc_id", "text_key", "m", "n", "p").distinct()
 
     # Shingles of the item and of the window, and how many they must share at least.
@@ -100,10 +102,10 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> Dat
     asked = cut(asked, "bench-asked")
     texts = docs.join(broadcast_if_small(asked, MOST_BROADCAST // 10), on=[docs["text_key"] == asked["text_key"], docs["doc_id"].eqNullSafe(asked["doc_id"])]).select(docs["doc_id"], docs["text_key"], "words", "asked")
     part = F.transform("asked", lambda w: F.struct(w["n"].alias("n"), w["s"].alias("s"), F.slice(F.col("words"), w["s"] + 1, w["n"]).alias("w")))
-    windows = texts.select("doc_id", "text_key", F.explode(part).alias("x")).select("doc_id", "text_key", "x.n", "x.s", F.col("x.w").alias("window"))
+    windows = texts.select("doc_id", "text_key", F.explode_outer(part).alias("x")).select("doc_id", "text_key", "x.n", "x.s", F.col("x.w").alias("window"))
     # The same words at the same place come from repeated rows.
-    marked = windows.dropDuplicates(["doc_id", "text_key", "n", "s"]).withColumn("fp", fingerprint(_shingle_hashes(F.col("window"), width)))
-    marked = cut(marked, "bench-windows")
+    hashed = cut(windows.dropDuplicates(["doc_id", "text_key", "n", "s"]).withColumn("hashes", _shingle_hashes(F.col("window"), width)), "bench-windows")
+    marked = cut(hashed.withColumn("fp", fingerprint(F.col("hashes"))).drop("hashes"), "bench-marked")
 
     entered = items.select("item_id", "n", "item_words", fingerprint(F.col("item_hashes")).alias("item_fp"))
     entered = cut(entered, "bench-items")
@@ -114,7 +116,8 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> Dat
     own = marked.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("n").alias("_n"), F.col("s").alias("_s"), "window")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")) & (F.col("n") == F.col("_n")) & (F.col("s") == F.col("_s"))
     pairs = near.join(own, same).join(broadcast_if_small(entered.select("item_id", "item_words"), MOST_BROADCAST // 10), "item_id")
-    exact = pairs.withColumn("similarity", similarity(_shingles(F.col("window"), width), _shingles(F.col("item_words"), width)))
+    shingled = pairs.withColumns({"a": _shingles(F.col("window"), width), "b": _shingles(F.col("item_words"), width)})
+    exact = shingled.withColumn("similarity", similarity(F.col("a"), F.col("b")))
     found = exact.where(F.col("similarity") >= least)
     best = found.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("s")).alias("s"))).alias("b"), F.count(F.lit(1)).alias("windows"))
     return best.select("doc_id", "text_key", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.s")).cast("int").alias("start_word"), "windows")
@@ -142,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text_key: a hash of the text, which with the id names a row; start_word: the first of the best windows.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), words(text).alias("words")).where("size(words) > 0")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), words(text).alias("words"))
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), words(F.col(item_text).cast("string")).alias("item_words")).where("size(item_words) > 0").dropDuplicates(["item_id", "item_words"])
     items = cut(items.withColumn("n", F.size("item_words")), "bench")
     widths = [r.w for r in items.select(F.least("n", F.lit(WIDTH)).alias("w")).distinct().collect()]  # 1 to 5
