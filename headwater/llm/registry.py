@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, ngram_lm, quality, simhash, toxicity
+from . import decontamination, line_dedup, mixing, ngram_lm, quality, simhash, toxicity
 from .common import fold_bucket
 
 
@@ -31,6 +31,21 @@ def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: Target weights of the languages, by tokens.
+LANGUAGE_TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+
+
+def op4_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = mixing.mix(docs.select("doc_id", "text"), labelled_domains(docs, labels), LANGUAGE_TARGETS)
+    return found.select("doc_id", "tokens", "domain", "posterior", "rate")
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the rows of the labelled table: there the language is taken as known."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id")
+
+
 def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold_bucket(F.col("doc_id"), 3) != 1))
@@ -50,7 +65,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_elias_fano, op2_line_dedup, op3_quality_pu, op5_toxicity_ftrl, op7_benchmark_decontamination, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_lm_elias_fano, op2_line_dedup, op3_quality_pu, op4_domain_mixing, op5_toxicity_ftrl, op7_benchmark_decontamination, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
