@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, ngram_lm, quality, secret_scan, simhash, toxicity
+from . import ann, decontamination, line_dedup, mixing, ngram_lm, quality, secret_scan, simhash, toxicity
 from .common import fold_bucket
 
 
@@ -71,13 +71,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_elias_fano, op2_line_dedup, op3_quality_pu, op4_domain_mixing, op5_toxicity_ftrl, op7_benchmark_decontamination, op8_secret_scan, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_lm_elias_fano, op2_line_dedup, op3_quality_pu, op4_domain_mixing, op5_toxicity_ftrl, op7_benchmark_decontamination, op8_secret_scan, op9_ivfpq_search, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
