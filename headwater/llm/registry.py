@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, line_dedup, mixing, ngram_lm, quality, secret_scan, simhash, toxicity
+from . import ann, decontamination, license_scan, line_dedup, mixing, ngram_lm, quality, secret_scan, simhash, toxicity
 from .common import fold_bucket
 
 
@@ -53,6 +53,24 @@ def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def as_files(docs: DataFrame) -> DataFrame:
+    """``documents`` laid out as a tree: source/lang/(50 ids)/id.txt.
+
+    A document that opens with a notice stands for a licence file: with an even id it lies two levels up, in
+    source/lang, else beside its neighbours.
+    """
+    opens = F.coalesce(F.regexp_extract("text", r"^[^\n]*", 0).rlike("(?i)^(licensed|released) under |^this work is licensed under "), F.lit(False))
+    top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    shelf = F.concat_ws("/", top, F.floor(F.col("doc_id") / 50).cast("string"))
+    name = F.when(opens, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    place = F.when(opens & (F.col("doc_id") % 2 == 0), top).otherwise(shelf)
+    return docs.select("doc_id", F.concat(place, F.lit("/"), name).alias("path"), "text")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(as_files(table(spark, sf_dir, "documents")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     best = found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("windows").alias("windows"))
@@ -81,7 +99,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_elias_fano, op2_line_dedup, op3_quality_pu, op4_domain_mixing, op5_toxicity_ftrl, op7_benchmark_decontamination, op8_secret_scan, op9_ivfpq_search, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_lm_elias_fano, op2_line_dedup, op3_quality_pu, op4_domain_mixing, op5_toxicity_ftrl, op6_license_scan, op7_benchmark_decontamination, op8_secret_scan, op9_ivfpq_search, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
