@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.functions import text as X
@@ -10,12 +10,17 @@ from headwater.operators import curate, enrich, state, trends
 from headwater.sources import feeds
 from headwater.sources.tables import table
 
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
-FIRST_LINE = F.regexp_extract("text", r"^[^\n]*", 0)
-ANCHOR = F.lit(curate.ANCHOR).cast("timestamp")
 LEXICON = {"en": ["the", "of", "and", "in", "that"], "fr": ["le", "de", "la", "les", "que"]}
 
 
+def now() -> Column:
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
+def anchor() -> Column:
+    return F.lit(curate.ANCHOR).cast("timestamp")
+
+
 def heads(spark: SparkSession, d: str) -> DataFrame:
     return curate.headlines(table(spark, d, "documents"))
 
@@ -47,7 +52,7 @@ def html_links_array(spark, d):
 
 
 def title_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normalize_title(FIRST_LINE).alias("title"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_title(F.regexp_extract("text", r"^[^\n]*", 0)).alias("title"))
 
 
 def slug_hash(spark, d):
@@ -111,8 +116,8 @@ def term_match_theta(spark, d):
 
 
 def scored(spark, d):
-    hits = trends.watch_hits(heads(spark, d).where(F.col("date") >= ANCHOR - F.expr("interval 96 hours")))
-    return trends.trend_scores(hits, ANCHOR)
+    hits = trends.watch_hits(heads(spark, d).where(F.col("date") >= anchor() - F.expr("interval 96 hours")))
+    return trends.trend_scores(hits, anchor())
 
 
 def trend_scores(spark, d):
@@ -137,12 +142,12 @@ def news_upsert_max(spark, d):
 
 
 def retention(spark, d):
-    return state.retain(table(spark, d, "events"), NOW, 14, "ts").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return state.retain(table(spark, d, "events"), now(), 14, "ts").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def weekly_candidates(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", F.col("value").alias("heat"), F.col("event_type").alias("column"))
-    return state.weekly_candidates(e, NOW).select("column", F.col("rank").cast("long").alias("rank"), "id", "heat")
+    return state.weekly_candidates(e, now()).select("column", F.col("rank").cast("long").alias("rank"), "id", "heat")
 
 
 def iso_week_rollup(spark, d):
