@@ -3,8 +3,11 @@
 Fitting: k-means finds the cells and, for each part of the residuals, a code book. It uses at most
 ``SAMPLE`` distinct vectors, in the order of a hash of their smallest id (the documented bound). Indexing:
 every distinct vector goes to its nearest cell and is coded by its residual. Searching: a query asks its
-``probes`` nearest cells; in each, a table of distances from the query's residual to all code words gives
-asymmetric distances, and the best ``rerank`` are measured exactly, in double precision.
+nearest cells; in each, a table of distances from the query's residual to all code words gives
+asymmetric distances, and the best ``rerank`` are measured exactly, in double precision. How many cells are
+asked is measured, unless it is given: for some vectors of the sample, the exact neighbours within the sample
+are found, and enough cells are asked to hold ``COVER`` of them. Clustered vectors need few cells, vectors
+without structure many; the recall against brute force stays above 0.9 for both.
 
 Equal vectors are one entry with its ``k + 1`` smallest ids, which is all that any answer can need. Cells
 are cut into blocks of bounded size on both sides, so neither a hot cell nor many queries meet in one task.
@@ -31,7 +34,9 @@ from .common import cut
 
 SAMPLE = 20_000
 MOST_CELLS = 4096
-PROBES = 64
+#: Share of the true neighbours within the sample whose cells a query must ask.
+COVER = 0.97
+_TRIALS = 256
 PARTS = 16
 CODES = 256
 RERANK = 128
@@ -97,6 +102,21 @@ def fit(sample: np.ndarray, cells: int, parts: int = PARTS) -> Coder:
     return coder
 
 
+def probes_for(coder: Coder, sample: np.ndarray, k: int, cover: float = COVER) -> int:
+    """Cells to ask so that ``cover`` of the neighbours within the sample lie in them."""
+    trial = sample[:_TRIALS]
+    own = np.concatenate([coder.cells(sample[i : i + 4096])[:, 0] for i in range(0, len(sample), 4096)])
+    place = np.argsort(np.argsort(squared(trial, coder.centres), axis=1, kind="stable"), axis=1)
+    distance = squared(trial, sample)
+    distance[np.arange(len(trial)), np.arange(len(trial))] = np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(coder.centres)
+    near = np.argpartition(distance, k - 1, axis=1)[:, :k]
+    ranks = np.sort(np.take_along_axis(place, own[near], axis=1).reshape(-1))
+    return int(ranks[min(len(ranks) - 1, math.ceil(cover * len(ranks)) - 1)]) + 1
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v) of the rows that take part; v is an array of doubles."""
     v = F.col(vector_col).cast("array<double>")
@@ -138,7 +158,7 @@ def _search_block(coder: Coder, k: int, rerank: int) -> Callable[[pd.DataFrame,
     return run
 
 
-def search(df: DataFrame, is_query: Callable[[Column], Column], k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES, rerank: int = RERANK, cells: int | None = None) -> DataFrame:
+def search(df: DataFrame, is_query: Callable[[Column], Column], k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probes: int | None = None, rerank: int = RERANK, cells: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id ``is_query`` accepts."""
     spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
@@ -149,7 +169,9 @@ def search(df: DataFrame, is_query: Callable[[Column], Column], k: int = 10, id_
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = kinds.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(SAMPLE).select("v").toArrow()
-    coder = fit(_matrix(sample.column(0).combine_chunks()), cells or max(1, min(MOST_CELLS, round(math.sqrt(n)))))
+    vectors = _matrix(sample.column(0).combine_chunks())
+    coder = fit(vectors, cells or max(1, min(MOST_CELLS, round(math.sqrt(n)))))
+    asked = probes or probes_for(coder, vectors, k)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +186,7 @@ def search(df: DataFrame, is_query: Callable[[Column], Column], k: int = 10, id_
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(1))
-                near = coder.cells(x, probes)
+                near = coder.cells(x, asked)
                 raw = np.repeat(np.array([r.tobytes() for r in x], object), near.shape[1])
                 ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), near.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), pa.array(ids), pa.array(raw, pa.binary())], ["cell", "query_id", "vector"])
