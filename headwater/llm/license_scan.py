@@ -6,8 +6,9 @@ the words of all templates. The inverse frequencies are those among the template
 has weighs as one that none contains, and each such word counts as a word of its own. The best template at
 ``LEAST`` or more is the file's own licence (ties: the smaller name).
 
-Only units that can reach ``LEAST`` are scored: for each template the heaviest words are collected until the
-rest of its vector is shorter than ``LEAST``; a unit without any of them has a smaller cosine with it.
+Only units that can reach ``LEAST`` are scored: for each template words are collected, the heaviest first and
+function words last, until the rest of its vector is shorter than ``LEAST``; a unit without any of the collected
+words has a smaller cosine with it, so leaving it out loses nothing.
 
 A file without a licence of its own inherits: licence files (by their name) speak for their folder, and the
 nearest folder at or above the file's that has one decides (several in a folder: the best score, then the
@@ -52,6 +53,8 @@ FILES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
 }
+#: Words that any English text has; they serve last to tell which units are worth scoring.
+COMMON = frozenset("a above all an and any as at be by do either for from in into is it no not of on or so that the this to was with without".split())
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -75,7 +78,7 @@ class Templates:
         self.needed = {"header": set(), "file": set()}
         for _, kind, vector in self.vectors:
             rest = 1.0
-            for w, x in sorted(vector.items(), key=lambda p: (-p[1], p[0])):
+            for w, x in sorted(vector.items(), key=lambda p: (p[0] in COMMON, -p[1], p[0])):
                 if math.sqrt(max(rest, 0)) < least - 1e-9:
                     break
                 self.needed[kind].add(w)
