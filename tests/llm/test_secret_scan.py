@@ -2,7 +2,8 @@ import hashlib
 import random
 import re
 
-from headwater.llm import registry, secret_scan as ss
+from headwater.llm import registry
+from headwater.llm import secret_scan as ss
 
 TEXTS = [
     None, "", "token = 'abcdefABCDEF1234' and PASSWORD: hunter2", "api_key=secret=abcdefghijklmnop", 'Apikey":   "A1b2C3d4E5f6G7"',
