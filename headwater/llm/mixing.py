@@ -98,9 +98,19 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
         .limit(max_rows)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    got = texts.join(F.broadcast(sample), "_id").select("_id", "_domain", F.coalesce("_text", F.lit("")).alias("_text")).toArrow()  # max_rows ids at most
-    rows = sorted(zip(got.column(0).to_pylist(), as_bytes(got.column(2).combine_chunks()) if got.num_rows else [], got.column(1).to_pylist(), strict=True))
-    return train([(t, d) for _, t, d in rows])
+    rows = texts.join(F.broadcast(sample), "_id").select("_id", "_domain", F.coalesce("_text", F.lit("")).alias("_text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), as_bytes(b.column(2)), b.column(1).to_pylist(), strict=True))
+        model = train([(t, d) for _, t, d in found])
+        columns = [pa.array([model.domains]), pa.array([model.weights.astype(np.float32).tobytes()]), pa.array([model.bias.astype(np.float64).tolist()])]
+        yield pa.RecordBatch.from_arrays(columns, ["domains", "weights", "bias"])
+
+    # The sample has max_rows rows at most, so one task holds it; the driver gets the weights only.
+    got = rows.repartition(1).mapInArrow(learn, "domains array<string>, weights binary, bias array<double>").first()
+    if got is None:  # nothing to learn from, and Spark saw it
+        return train([])
+    return Classifier(list(got.domains), np.frombuffer(got.weights, np.float32).reshape(BUCKETS, -1), np.array(got.bias))
 
 
 def _rates(p: np.ndarray, history: np.ndarray) -> np.ndarray:

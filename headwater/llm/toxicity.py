@@ -157,11 +157,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             sets = [low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "label", "features"])
 
-    got = joined.mapInArrow(features, "id long, label int, features binary").toArrow()
-    rows = [(i, y, np.frombuffer(x, np.uint32)) for i, y, x in zip(*(got.column(k).to_pylist() for k in range(3)), strict=True)]
-    # By a hash of the id again, so that the order of learning does not depend on the plan.
-    rows.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) % 2**64, len(r[2]), r[2].tobytes()[:64]))
-    return train([(x, y) for _, y, x in rows], how)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            rows += [(i, y, np.frombuffer(x, np.uint32)) for i, y, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+        # By a hash of the id again, so that the order of learning does not depend on the plan.
+        rows.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) % 2**64, len(r[2]), r[2].tobytes()[:64]))
+        model = train([(x, y) for _, y, x in rows], how)
+        columns = [[model.bias], [model.keys.tobytes()], [model.weights.tobytes()], [model.trained]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bias", "keys", "weights", "trained"])
+
+    # The sample is bounded, so one task holds it; the driver gets the sparse weights only.
+    sets = joined.mapInArrow(features, "id long, label int, features binary").repartition(1)
+    got = sets.mapInArrow(learn, "bias double, keys binary, weights binary, trained boolean").first()
+    if got is None:  # nothing to learn from, and Spark saw it
+        return Model()
+    return Model(got.bias, np.frombuffer(got.keys, np.uint32), np.frombuffer(got.weights, np.float32), got.trained)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
