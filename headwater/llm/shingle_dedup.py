@@ -1,0 +1,196 @@
+"""Near-duplicate classes by the exact Jaccard similarity of shingle sets.
+
+A text is cut into words as in ``simhash``; its set of 5-word shingles is kept as XXH64 hashes. Two texts are
+linked if the similarity of their sets is 0.8 or more; a class is what links reach.
+
+Search. In any order that all texts share, sets of that similarity have one of their first n - ceil(0.8 n) + 1
+shingles in common, so texts meet in the buckets of these and no pair is lost. Shingles that are frequent in a
+sample come last in the order; the sample decides the cost alone. Equal sets are one from the start. In a first
+round each member of a bucket is compared with one of the bucket, in a second with another one; what is then
+still in different classes of a bucket is compared pair by pair. So large groups of near copies, which the
+rounds join, do not become pairs.
+
+Defined cases: texts without words have the empty set and are one class; a text of fewer than five words is one
+shingle; repeated rows and null ids count as in ``simhash.keep_one``; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import as_bytes, cut, small_batches, words_of
+from .components import connected_components
+from .simhash import SEED, shingles
+
+WIDTH = 5
+#: The similarity as a fraction.
+LEAST = (4, 5)
+#: Texts sampled to find frequent shingles, the texts of the sample such a shingle is in, and how many are kept.
+SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 3, 200_000
+
+
+def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    parts = shingles(words_of(text), width)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts)))
+
+
+def name_of(found: np.ndarray) -> int:
+    """A signed long that names the set; zero if it is empty."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64)) if len(found) else 0
+
+
+def _prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    n = len(found)
+    most = n - -(-n * LEAST[0] // LEAST[1]) + 1 if n else 0
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        late = frequent[at] == found
+        found = np.concatenate([found[~late], found[late]])
+    return found[:most]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    flat = np.concatenate([np.zeros(0, np.uint64), *arrays])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _sets(narrow: DataFrame, width: int) -> DataFrame:
+    """(fp, h): the whole set of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 2 << 20):
+            found = [shingle_set(t, width) for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), _lists(found)], ["fp", "h"])
+
+    return narrow.mapInArrow(run, "fp long, h array<long>")
+
+
+def _frequent(narrow: DataFrame, width: int) -> np.ndarray:
+    """The hashes, sorted, of shingles that many different texts of the sample have."""
+    each = max(1, narrow.count() // SAMPLE)
+    some = narrow.where(F.pmod(F.xxhash64("text"), F.lit(each)) == 0).dropDuplicates(["text"])
+    many = _sets(some, width).select(F.explode("h").alias("key")).groupBy("key").count().where(F.col("count") >= FREQUENT)
+    top = many.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).select("key").toArrow()
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _prefixes(narrow: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, fp, n, prefix)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            names, sizes, heads = [], [], []
+            for text in as_bytes(batch.column(1)):
+                found = shingle_set(text, width)
+                names.append(name_of(found))
+                sizes.append(len(found))
+                heads.append(_prefix(found, frequent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(heads)], ["doc_id", "fp", "n", "prefix"])
+
+    return narrow.mapInArrow(run, "doc_id long, fp long, n int, prefix array<long>")
+
+
+def _possible(a: str, b: str) -> F.Column:
+    """No pair of that similarity fails this: sizes, and what can still match before and after the common key."""
+    most = f"least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos)"
+    return F.expr(f"{sum(LEAST)} * ({most}) >= {LEAST[0]} * ({a}.n + {b}.n)")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    one, two = sets.select(F.col("fp").alias("a"), F.col("h").alias("ha")), sets.select(F.col("fp").alias("b"), F.col("h").alias("hb"))
+    both = pairs.join(two, "b").join(one, "a")
+    return both.where(F.size(F.array_intersect("ha", "hb")) * sum(LEAST) >= LEAST[0] * (F.size("ha") + F.size("hb"))).select("a", "b")
+
+
+def _open(met: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The rows, with their classes so far, of the buckets that still hold several."""
+    if links is None:
+        return met.withColumn("root", F.col("fp"))
+    reach = connected_components(links)
+    named = met.join(reach, met.fp == reach.node, "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+    w = Window.partitionBy("key")
+    some = named.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi").drop("lo", "hi")
+    return cut(some, "shingle-open")
+
+
+def links(kinds: DataFrame, sets_of) -> DataFrame:
+    """(a, b): similar pairs whose closure is that of all similar pairs; ``sets_of`` gives the sets of a table of fp."""
+    rows = kinds.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))
+    met = cut(rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1").drop("m"), "shingle-met")
+    sets = cut(sets_of(met.select("fp").distinct()), "shingle-sets")
+    found = tried = None
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal found, tried
+        new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
+        good = cut(_similar(new, sets), "shingle-links")
+        found = good if found is None else found.unionByName(good)
+        tried = new if tried is None else tried.unionByName(new)
+
+    for salt in ([F.lit(0)], [F.col("key")]):
+        w = Window.partitionBy("key")
+        me = F.struct(F.xxhash64("fp", *salt).alias("by"), "fp", "n", "pos", "root")
+        starred = _open(met, found).withColumn("one", F.min(me).over(w)).withColumn("me", F.struct("n", "pos"))
+        settle(starred.where("root <> one.root").where(_possible("one", "me")).select(F.col("one.fp").alias("a"), F.col("fp").alias("b")))
+    left = _open(met, found)
+    settle(left.alias("x").join(left.alias("y"), "key").where("x.root < y.root").where(_possible("x", "y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
+    return found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(doc_id, fp, root, component_id) for each row: root names the class, component_id is its smallest id."""
+    narrow = _narrow(docs, id_col, text_col)
+    rows = cut(_prefixes(narrow, width, _frequent(narrow, width)), "shingle-rows")
+    kinds = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "shingle-kinds")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        ids = kinds.join(wanted, "fp", "left_semi").select(F.col("first_id")).distinct()
+        some = narrow.join(ids, narrow.doc_id.eqNullSafe(ids.first_id), "left_semi")
+        return _sets(some, width).join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+
+    reach = connected_components(links(kinds, sets_of))
+    named = kinds.join(reach, kinds.fp == reach.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows.select("doc_id", "fp").join(named.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` that stay if each class keeps one row of its smallest id."""
+    found = cut(near_duplicates(docs, id_col, text_col, width), "shingle-classes")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    once = stay.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    # An id that also names rows of other classes is not unique in the input, so those are counted too.
+    all_rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    counted = cut(once.join(all_rows.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "rows"), "shingle-ids")
+    plain = counted.where("rows = 1 and doc_id is not null").select(F.col("doc_id").alias("_keep_id"))
+    kept = docs.join(plain, docs[id_col].cast("long") == plain["_keep_id"], "left_semi")
+    odd = counted.where("rows > 1 or doc_id is null").select(F.col("doc_id").alias("_odd"))
+    if odd.isEmpty():
+        return kept
+    rows = docs.join(odd, docs[id_col].cast("long").eqNullSafe(odd["_odd"]), "left_semi")
+    wide = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [name_of(shingle_set(t, width)) for t in as_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.int64())], ["row", "doc_id", "fp"])
+
+    schema = T.StructType([wide.schema["row"], T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+    classes = stay.select("fp", "root", "component_id").distinct()
+    marked = wide.mapInArrow(add, schema).join(classes, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return kept.unionByName(marked.groupBy("root").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
