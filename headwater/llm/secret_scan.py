@@ -5,8 +5,8 @@ exclusive): ``assign`` (a telling name, a sign and a literal of 12 or more chara
 of 18 or more), ``hex`` (16 or more hex digits).
 
 Lexing reads a text as source code or configuration: it finds names followed by ``=``, ``:=``, ``:`` or
-``=>`` and a literal (quoted, bare to the end of the word, or quoted pieces joined by ``+``), and pairs from
-JSON, YAML, INI, shell exports and markup attributes alike. Constants are propagated: a name that was given
+``=>`` and a literal (quoted with escapes, triple-quoted, bare to the end of the word, or quoted pieces joined by
+``+``; on the same line or the next), quoted subscripts that are assigned to, and pairs from JSON, YAML, INI, shell exports and markup attributes alike. Constants are propagated: a name that was given
 a literal before hands it on when it is assigned to another name. Each literal is then scored by how telling
 the names are that it reaches (the parts of a name, split at case changes and separators) and by its form
 (length, kinds of characters, entropy); at ``SCORE`` or more the literal is reported as kind ``lexed``.
@@ -39,14 +39,18 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the maximal runs of 16 or more are those o
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 _ASSIGN_HINT = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", re.IGNORECASE | re.ASCII)
 
-#: A name, a sign, and what follows. Bounded repeats keep the search linear on any text.
+#: A quoted literal, with escapes; tripled signs may span lines.
+_QUOTED = r"""\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{3}|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`"""
+#: A name (bare, quoted or a quoted subscript), a sign, and what follows on this line or the next; what opens the
+#: next line and has a sign of its own is a name there. Possessive repeats without bounds keep the search linear.
 _PAIR = re.compile(
-    r"""(?<![\w$.-])["']?([A-Za-z_$][\w$.-]{0,99})["']?[\x20\t]{0,8}(?::=|=>|=(?!=)|:(?!:))[\x20\t]{0,8}
-        (?:("[^"\\\n]{0,4096}"|'[^'\\\n]{0,4096}'|`[^`\\\n]{0,4096}`)((?:[\x20\t]{0,8}\+[\x20\t]{0,8}(?:"[^"\\\n]{0,4096}"|'[^'\\\n]{0,4096}'))*)
-          |([^\s"'`,;(){}\[\]<>|]{1,4096}))""",
+    rf"""(?<![\w$.-])["']?(?P<name>[A-Za-z_$][\w$.-]*+)(?:["'](?:[\x20\t]*+\])?+)?+[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+
+        (?:(?P<nl>\\?\r?\n[\x20\t]*+)?+(?P<quoted>{_QUOTED})(?P<more>(?:[\x20\t]*+\+[\x20\t]*+(?:{_QUOTED}))*+)(?(nl)(?!\]?[\x20\t]*+[:=]))
+          |\\?\r?\n[\x20\t]++(?![A-Za-z_$][\w$.-]*+[\x20\t]*+(?::|=(?!=*+[\x20\t]*+(?:\r?\n|\Z))))(?P<next>[^\s"'`,;(){{}}\[\]<>|]++)(?=[\x20\t]*+(?:\r?\n|\Z))
+          |(?P<bare>[^\s"'`,;(){{}}\[\]<>|]++))""",
     re.ASCII | re.VERBOSE,
 )
-_PIECE = re.compile(r""""[^"\\\n]*"|'[^'\\\n]*'""")
+_PIECE = re.compile(_QUOTED)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How telling the parts of a name are.
 WEIGHTS = {
@@ -82,20 +86,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def _signs(literal: str) -> int:
+    return 3 if len(literal) >= 6 and literal[:3] in ('"""', "'''") else 1
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that telling names receive, directly or through other names."""
     known: dict[str, tuple[str, int, int]] = {}  # a name's literal and its place
     best: dict[tuple[int, int], tuple[float, str]] = {}
     for m in _PAIR.finditer(text):
-        name, quoted, more, bare = m.groups()
+        name, quoted, more = m["name"], m["quoted"], m["more"]
+        bare, at = (m["bare"], m.start("bare")) if m["next"] is None else (m["next"], m.start("next"))
         if quoted is not None:
             pieces = [quoted, *_PIECE.findall(more or "")]
-            value, start, end = "".join(p[1:-1] for p in pieces), m.start(2), m.end(3)
-            start, end = (start + 1, end - 1) if len(pieces) == 1 else (start, end)
+            value, start, end = "".join(p[_signs(p) : -_signs(p)] for p in pieces), m.start("quoted"), m.end("more")
+            start, end = (start + _signs(quoted), end - _signs(quoted)) if len(pieces) == 1 else (start, end)
         elif bare in known:
             value, start, end = known[bare]
         else:
-            value, start, end = bare.rstrip(".,:"), m.start(4), m.start(4) + len(bare.rstrip(".,:"))
+            value = bare.rstrip(".,:")
+            start, end = at, at + len(value)
         if not value:
             continue
         known[name] = (value, start, end)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from headwater.llm import registry
 from headwater.llm import secret_scan as ss
@@ -49,6 +50,31 @@ def test_lexing():
     assert lexed("x" * 200000 + " password=" + "a1B2" * 2000) != []
 
 
+def test_lexing_has_no_bounds():
+    value = "q7Zp93Kd0aXw"
+    for text in (
+        f'passphrase{" " * 30}={" " * 30}"{value}"', f"aws_credentials:{chr(9) * 20}{value}", f'{"a_" * 200}pwd = "{value}"',
+        f'conf["pwd"] = "{value}"', f"conf[ 'pwd' ] = '{value}'", f'passphrase =\n    "{value}"', f"pwd = \\\n  '{value}'",
+        f"passphrase:\n  {value}\nnext: x", f'pwd = """{value}"""', f"pwd = '''{value}'''",
+    ):
+        assert lexed(text) == [value], text
+    assert lexed(f'pwd = "{value}\\"q{value}"') == [f'{value}\\"q{value}']
+    assert lexed(f"passphrase:\n  {value}==\n") == [value + "=="]
+    assert lexed(f'pwd = """{value}\n{value}"""') == [f"{value}\n{value}"]
+    for n in (4096, 4097, 50_000):
+        long = (value * (n // 12 + 1))[:n]
+        assert lexed(f'pwd = "{long}"') == lexed(f"pwd = {long}") == [long]
+    # what opens the next line is a name there if a sign follows
+    assert lexed(f'settings:\n"pwd": "{value}"') == lexed(f"settings:\n  pwd: {value}") == [value]
+
+
+def test_lexing_is_linear():
+    for part in ("a", "a ", "a=", 'a="', "a='\\", "a='''", 'a="""\\', "a:\n", "a: \n  b", '["a', "a = 'b' + ", "a" + " " * 50, '"\\"', "=\n'"):
+        began = time.process_time()
+        ss.lexed_spans(part * (400_000 // len(part)))
+        assert time.process_time() - began < 5, part
+
+
 def test_query_digests(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS)] + [(None, TEXTS[2], "k")], "doc_id long, text string, spans string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
