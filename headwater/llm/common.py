@@ -9,17 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, single machines).
-LOCAL_WORK_DIR = "/tmp/checkpoints/headwater"
+#: Set when the session names no shared folder: with one JVM only, else work stops with an error.
+_OWN_FOLDER = "headwater-work"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, which every executor and the driver can read."""
+    """The shared folder of the session, which every executor and the driver can read.
+
+    Where the session names none, a single-machine session (tests) gets a folder in its warehouse; a cluster
+    session must name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{LOCAL_WORK_DIR}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{_OWN_FOLDER}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -80,3 +85,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20)
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """Marks a written table for broadcasting if it has so few rows; else the join shuffles both sides."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, key: str, count: str, hot: int = 50_000) -> DataFrame:
+    """Joins rows with a written table that has each key once and how many rows have it.
+
+    Keys of over ``hot`` rows are broadcast (rows / ``hot`` of them at most), so no task gets all rows of one key;
+    the others are shuffled.
+    """
+    many, few = unique.where(F.col(count) > hot).drop(count), unique.where(F.col(count) <= hot).drop(count)
+    if many.isEmpty():
+        return rows.join(few, key)
+    held = F.broadcast(many)
+    return rows.join(held, key).unionByName(rows.join(held, key, "left_anti").join(few, key))

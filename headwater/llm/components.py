@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Nodes with more links in a round are hubs.
+HUB = 100_000
+
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the links of a batch by links from each node to its smallest, found in that batch alone."""
@@ -37,6 +40,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
 
 
+def _with_least(links: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """Links with the smallest neighbour of ``key``; hubs, links / HUB at most, are broadcast, others shuffled."""
+    hubs, others = F.broadcast(least.where(F.col("n") > HUB).select(key, "m")), least.where(F.col("n") <= HUB).select(key, "m")
+    return links.join(hubs, key).unionByName(links.join(hubs, key, "left_anti").join(others, key))
+
+
 def connected_components(links: DataFrame, contract: bool = True) -> DataFrame:
     """(node, root) of every node that has a link; ``links`` has long columns a and b."""
     pairs = links.select("a", "b").where("a <> b")
@@ -50,9 +59,9 @@ def connected_components(links: DataFrame, contract: bool = True) -> DataFrame:
             break
         before = tuple(now)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("x")).where("x <> m")
+        least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both, least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        down = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, down, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("x")).where("x <> m")
         edges = cut(small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "links")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))

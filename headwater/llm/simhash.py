@@ -6,11 +6,13 @@ their fingerprints differ in at most ``radius`` bits; a class is what links reac
 
 Search. The 64 bits are four segments on a ring. With at most 3 differing bits some segment starts a
 chain whose cumulative differences stay within 0, 1, 2, 3 (the proportional budget 3/4 for each segment,
-rounded down): this is the strong pigeonring condition. The first two steps of that chain are an index
-key (start, first segment exactly, second segment within one bit), so no more than fingerprints with
-equal chains meet; the third step and then the whole distance are checked on those that met. Copies are
-one fingerprint from the start, and within a bucket a spanning forest is emitted instead of all pairs,
-so a bucket of n fingerprints yields fewer than n links and yet loses no connection.
+rounded down): this is the strong pigeonring condition. The first two steps of that chain are the index: the
+first segment is equal, the second differs in one bit at most, so one of its halves is equal too, and a
+fingerprint has eight keys (start, first segment, half of the second). All steps of the chain and then the whole
+distance are checked on those that meet, in buckets of every size. Copies are one fingerprint from the start,
+and within a bucket a spanning forest is emitted instead of all pairs, so a bucket of n fingerprints yields
+fewer than n links and yet loses no connection. A bucket of over ``MOST_IN_BUCKET`` is dealt out once more: the
+40 bits outside its key differ in 3 at most, so of their four parts one is equal, and that part joins the key.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows
 and ids are all returned; a null id never names a class unless the class has no other id (then null);
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, small_batches, words_of
+from .common import as_bytes, broadcast_if_small, cut, join_hot, small_batches, words_of
 from .components import connected_components
 
 SEED = 42
@@ -37,6 +39,9 @@ SEGMENTS = 4
 SEGMENT_BITS = 16
 RADIUS = 3
 _CHUNK = 8192
+#: Larger buckets are dealt out by further bits.
+MOST_IN_BUCKET = 4096
+MOST_BROADCAST = 200_000
 
 
 def shingles(words: list[bytes], width: int = SHINGLE_WORDS) -> list[bytes]:
@@ -51,18 +56,23 @@ def shingles(words: list[bytes], width: int = SHINGLE_WORDS) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts, ends[width - 1 :], strict=False)]
 
 
-def fingerprint(text: bytes | None) -> int:
-    """The unsigned 64-bit fingerprint; zero if there are no words."""
-    parts = shingles(words_of(text))
+def shingle_hashes(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
+    parts, digest = shingles(words_of(text), width), xxhash.xxh64_intdigest
+    return np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of hashes; zero if there are none."""
     ones = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for start in range(0, len(parts), _CHUNK):
-        some = parts[start : start + _CHUNK]
-        hashes = np.fromiter((digest(p, SEED) for p in some), np.uint64, len(some))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    set_bits = (2 * ones > len(parts)).astype(np.uint8)
-    return int(np.packbits(set_bits, bitorder="little").view(np.uint64)[0])
+    for start in range(0, len(hashes), _CHUNK):
+        some = np.ascontiguousarray(hashes[start : start + _CHUNK])
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes | None) -> int:
+    return majority(shingle_hashes(text))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,18 +92,31 @@ def _segment(fps: np.ndarray, k: int) -> np.ndarray:
 
 
 def _chain_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """68 rows for a fingerprint: each start with the second segment as it is and with one bit turned."""
-    turned = np.concatenate([[0], 1 << np.arange(SEGMENT_BITS)]).astype(np.uint64)
-    for whole in batches:
-        for begin in range(0, whole.num_rows, 4096):
-            fps = whole.column(0).slice(begin, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
-            keys = []
-            for k in range(SEGMENTS):
-                head = (np.uint64(k) << np.uint64(32)) | (_segment(fps, k) << np.uint64(16))
-                keys.append(head[:, None] | (_segment(fps, k + 1)[:, None] ^ turned[None, :]))
-            key = np.stack(keys, axis=1).reshape(-1)
-            owner = np.repeat(fps, SEGMENTS * len(turned))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner.view(np.int64))], ["key", "fp"])
+    """8 rows for a fingerprint: bits 32-33 of a key hold the start, bit 24 the half, below lie the segment and the half's value."""
+    for batch in batches:
+        fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        keys = []
+        for k in range(SEGMENTS):
+            for half in range(2):
+                value = (_segment(fps, k + 1) >> np.uint64(8 * half)) & np.uint64(0xFF)
+                keys.append(np.uint64(k << 32 | half << 24) | (_segment(fps, k) << np.uint64(8)) | value)
+        key = np.stack(keys, axis=1).reshape(-1)
+        owner = np.repeat(fps, 2 * SEGMENTS)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner.view(np.int64))], ["key", "fp"])
+
+
+def _finer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """4 rows for a row of a large bucket: its key with one ten-bit part of what the key leaves out."""
+    for batch in batches:
+        key = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        turn = np.uint64(SEGMENT_BITS) * ((key >> np.uint64(32)) & np.uint64(3))
+        ring = (fps >> turn) | (fps << ((np.uint64(64) - turn) % np.uint64(64)))
+        other = (ring >> (np.uint64(24) - np.uint64(8) * ((key >> np.uint64(24)) & np.uint64(1)))) & np.uint64(0xFF)
+        rest = ((ring >> np.uint64(32)) << np.uint64(8)) | other
+        parts = [key | np.uint64(j + 1 << 34) | (((rest >> np.uint64(10 * j)) & np.uint64(1023)) << np.uint64(40)) for j in range(4)]
+        fine = np.stack(parts, axis=1).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(fine.view(np.int64)), pa.array(np.repeat(fps, 4).view(np.int64))], ["key", "fp"])
 
 
 def _mask(start: np.ndarray, steps: int) -> np.ndarray:
@@ -104,22 +127,26 @@ def _mask(start: np.ndarray, steps: int) -> np.ndarray:
     return out
 
 
+def _start(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(32)) & np.uint64(3)
+
+
 def _within(start: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Chain budgets 1, 2 for two and three segments, then the whole distance."""
+    """Chain budgets 1, 2 for two and three segments, then the whole distance; the key settles the first."""
     diff = a ^ b
     keep = np.bitwise_count(diff & _mask(start, 2)) <= 1
     keep &= np.bitwise_count(diff & _mask(start, 3)) <= 2
     return keep & (np.bitwise_count(diff) <= RADIUS)
 
 
-def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of one large bucket; each step compares one against the unreached."""
+def _forest(start: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of one larger bucket; each step compares one against the unreached."""
     left, out_a, out_b = fps, [], []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            near = np.bitwise_count(left ^ at) <= RADIUS
+            near = _within(start, left, at)
             if near.any():
                 hit = left[near]
                 out_a.append(np.full(len(hit), at, np.uint64))
@@ -135,14 +162,14 @@ def _bucket_links(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarra
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(heads, len(keys)))
     for h, n in zip(heads[sizes > 32], sizes[sizes > 32], strict=True):
-        yield _forest(fps[h : h + n])
+        yield _forest(_start(keys[h : h + 1]), fps[h : h + n])
     small = (sizes > 1) & (sizes <= 32)
     for gap in range(1, int(sizes[small].max(initial=1))):
         # the rows of small runs that have a fellow ``gap`` places on
         own, many = heads[small & (sizes > gap)], sizes[small & (sizes > gap)] - gap
         first = np.repeat(own, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
         a, b = fps[first], fps[first + gap]
-        keep = _within(keys[first] >> np.uint64(32), a, b)
+        keep = _within(_start(keys[first]), a, b)
         yield a[keep], b[keep]
 
 
@@ -172,6 +199,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct_fps: DataFrame) -> DataFrame:
     """(a, b), a < b: true links among distinct fingerprints whose closure is that of all links."""
     keyed = distinct_fps.select("fp").mapInArrow(_chain_keys, "key long, fp long")
+    full = cut(keyed.groupBy("key").count().where(F.col("count") > MOST_IN_BUCKET).select("key"), "simhash-full")
+    if not full.isEmpty():
+        full = broadcast_if_small(full, MOST_BROADCAST)
+        finer = keyed.join(full, "key", "left_semi").mapInArrow(_finer_keys, "key long, fp long")
+        keyed = keyed.join(full, "key", "left_anti").unionByName(finer)
     met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
     return met.distinct()
 
@@ -179,60 +211,9 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each row: the class is named by its smallest id."""
     fps = cut(fingerprints(docs, id_col, text_col), "simhash-fps")
-    kinds = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-kinds")
+    kinds = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "simhash-kinds")
     reach = connected_components(links(kinds))
-    named = kinds.join(reach, kinds.fp == reach.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = kinds.join(reach, kinds.fp == reach.node, "left").select("fp", "first_id", "rows", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(smallest, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay if each class keeps the row of its smallest id.
-
-    Where an id repeats within the class or is null, one of those rows stays.
-    """
-    found = cut(near_duplicates(docs, id_col, text_col), "simhash-classes")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    once = stay.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"), F.min("fp").alias("fp"))
-    ids = once.where("copies = 1 and doc_id is not null").select(F.col("doc_id").alias("_keep_id"))
-    kept = docs.join(ids, docs[id_col].cast("long") == ids["_keep_id"], "left_semi")
-    # Ids that are null or repeat in the input: rare, so they are settled apart, by id and class.
-    odd = cut(stay.groupBy("doc_id", "component_id", "fp").agg(F.count(F.lit(1)).alias("copies")).join(once.where("copies > 1 or doc_id is null").select(F.col("doc_id").alias("_odd")), F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi"), "simhash-odd")
-    if odd.isEmpty():
-        return kept
-    again = fingerprints_of_rows(docs, odd, id_col, text_col)
-    return kept.unionByName(again)
-
-
-def fingerprints_of_rows(docs: DataFrame, odd: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of ``docs`` for each class whose smallest id is null or repeated."""
-    ids = odd.select("doc_id").distinct()
-    rows = docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["doc_id"]), "left_semi")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    # A class has one id here, or only nulls; its fingerprints share the smallest of them as their name.
-    names = fingerprint_classes(odd)
-    row = F.struct(*columns)
-    with_fp = rows.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = with_fp.schema["row"].dataType
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.fromiter((fingerprint(t) for t in as_bytes(batch.column(2))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["row", "doc_id", "fp"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("row", out), T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
-    marked = with_fp.mapInArrow(add, schema).join(names, "fp")
-    one = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    return one.select("row.*")
-
-
-def fingerprint_classes(odd: DataFrame) -> DataFrame:
-    """(fp, component_id, class): ids name classes; where there are only nulls, links do."""
-    bare = odd.where("component_id is null").select("fp").distinct()
-    reach = connected_components(links(bare))
-    by_link = bare.join(reach, bare.fp == reach.node, "left").select("fp", F.lit(None).cast("long").alias("component_id"), F.concat(F.lit("f"), F.coalesce("root", "fp").cast("string")).alias("class"))
-    by_id = odd.where("component_id is not null").select("fp", "component_id", F.concat(F.lit("d"), F.col("component_id").cast("string")).alias("class")).distinct()
-    return by_link.unionByName(by_id)
+    classes = cut(named.join(smallest, "root").select("fp", "rows", "component_id"), "simhash-classes")
+    return join_hot(fps, classes, "fp", "rows").select("doc_id", "fp", "component_id")

@@ -47,18 +47,10 @@ def test_against_brute_force(spark):
     assert found == slow_classes(rows)
 
 
-def test_keep_one_of_each_class(spark):
-    rows = corpus(5)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = simhash.keep_one(docs).collect()
-    classes = {}
-    for d, fp, c in slow_classes(rows):
-        classes.setdefault(("d", c) if c is not None else ("f", fp), []).append(d)
-    assert len(kept) == len(classes)
-    assert {r.doc_id for r in kept} == {c for kind, c in classes if kind == "d"} | ({None} if any(k == "f" for k, _ in classes) else set())
-
-
-def test_large_bucket_is_spanned(spark):
+@pytest.mark.parametrize("most", [4096, 16])
+def test_large_bucket_is_spanned(spark, monkeypatch, most):
+    """With 16 the buckets are dealt out by further bits."""
+    monkeypatch.setattr(simhash, "MOST_IN_BUCKET", most)
     rng = random.Random(1)
     near = {sum(1 << b for b in rng.sample(range(20), rng.randint(0, 3))) for _ in range(400)}
     fps = spark.createDataFrame([(x,) for x in near], "fp long")
@@ -78,4 +70,3 @@ def test_large_bucket_is_spanned(spark):
 @pytest.mark.parametrize("schema", ["doc_id long, text string"])
 def test_empty(spark, schema):
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
-    assert simhash.keep_one(spark.createDataFrame([], schema)).count() == 0
