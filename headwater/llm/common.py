@@ -82,9 +82,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20)
             yield batch.slice(start, step)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """Marks a written table for broadcasting if it has so few rows; else the join shuffles both sides."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def broadcast_if_small(df: DataFrame, most_rows: int, entries: Column | None = None, most_entries: int = 0) -> DataFrame:
+    """Marks a written table for broadcasting if it has so few rows (and entries in its arrays); else the join
+    shuffles both sides."""
+    held = df.limit(most_rows + 1).agg(F.count(F.lit(1)), F.max(F.lit(0)) if entries is None else F.sum(entries)).first()
+    return F.broadcast(df) if held[0] <= most_rows and (held[1] or 0) <= most_entries else df
 
 
 def join_hot(rows: DataFrame, unique: DataFrame, key: str, count: str, hot: int = 50_000) -> DataFrame:

@@ -5,13 +5,14 @@ runs of n words of a text (the whole text if it is shorter). Window and item are
 of five-word shingles (all words, if the item has fewer): weighted Jaccard, the weight of a shingle being
 how often it occurs, of ``similarity`` or more.
 
-1. Windows are fingerprinted only where they can qualify. Similarity of 0.8 means that 8/9 of a window's
-   shingles are shingles of items of that size; runs of such shingles are found by one equi-join of shingle
-   hashes and a range count over their places, so no window that qualifies is lost.
-2. Fingerprints are 64 bits, set where over half the shingles (with repeats) have a one. Twelve blocks of
-   five and six bits: within ``RADIUS`` = 23 differences some block differs in one bit at most. Items are
-   entered under each block and its one-bit neighbours, windows ask under their blocks: all pairs within the
-   radius meet. Similarity 0.8 gives about 10 differing bits, the radius lies over four deviations beyond.
+1. A cheap filter says where windows can lie: similarity of 0.8 means that 8/9 of a window's shingles are shingles of
+   items of that size. Windows with ``ANCHOR`` of that many are fingerprinted, found by one equi-join of shingle
+   hashes and their places, so no window that qualifies is lost. Which item a window matches is not asked there.
+2. Fingerprints have 128 bits (two hashes a shingle), set where over half the shingles (with repeats) have a one.
+   Eight blocks of 16 bits: within ``RADIUS`` = 31 differences some block differs in 3 bits at most. Items are entered
+   under each block and its neighbours within 3 bits, windows ask under their blocks: all pairs within the radius
+   meet, and of unrelated pairs 8.5 % at most. Similarity 0.8 gives about 19.4 differing bits with a deviation of 4,
+   so the radius takes in 99.9 % of pairs at the very threshold, and more above it.
 3. Pairs within the radius are compared exactly, on the words themselves.
 
 All of it is DataFrame functions. Items are broadcast if they are few; beyond that the same joins shuffle.
@@ -30,11 +31,13 @@ from .common import broadcast_if_small, cut, reserved
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 23
-#: (first bit, bits) of the twelve blocks.
-BLOCKS = [(6 * k, 6) for k in range(4)] + [(24 + 5 * k, 5) for k in range(8)]
-#: Tables of at most so many rows are broadcast.
-MOST_BROADCAST = 500_000
+RADIUS = 31
+#: Share of the shingles that a qualifying window must have of items, with which a window is fingerprinted.
+ANCHOR = 0.6
+#: Bits of a block, and differences within which a block finds its neighbours: 8 * (3 + 1) > RADIUS.
+BLOCK_BITS, NEAR = 16, 3
+#: Sizes of tables that are broadcast, by rows and, where rows hold arrays, by their entries.
+MOST_BROADCAST, MOST_ENTRIES = 300_000, 2_000_000
 RESULT = "doc_id long, text_key long, item_id long, similarity double, start_word int, windows long"
 
 
@@ -49,27 +52,48 @@ def _shingle_hashes(own: Column, width: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprint(hashes: Column) -> Column:
-    """64 majority bits as a long."""
-    half = F.size(hashes)
-    ones = lambda b: F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.getbit(h, b).cast("int"))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(ones(b) * 2 > half, F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
+def fingerprint(hashes: Column, lane: int = 16) -> Column:
+    """64 majority bits as a long.
 
+    One pass counts all bits: a long holds 64 / ``lane`` counters, the bits g, g + lane, ... in the g-th long. Adding
+    a quarter of a lane's range less half of the size sets the last bit but one of a lane where its count is over half.
+    """
+    low = sum(1 << b for b in range(0, 64, lane))
+    wide = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("bigint")
+    zero = F.array(*[wide(0)] * lane)
+    one = lambda acc, h: F.array(*[acc[g] + F.shiftrightunsigned(h, g).bitwiseAND(wide(low)) for g in range(lane)])
+    add = (F.lit((1 << lane - 2) - 1).cast("bigint") - F.floor(F.size(hashes) / 2)) * wide(low)
+
+    def join(counts: Column) -> Column:
+        out = wide(0)
+        for g in range(lane):
+            top = F.shiftrightunsigned((counts[g] + add).bitwiseAND(wide(low << lane - 2)), lane - 2)
+            out = out.bitwiseOR(F.shiftleft(top, g))
+        return out
+
+    return F.get(F.transform(F.array(F.aggregate(hashes, zero, one)), join), 0)
+
+
+def fingerprints(hashes: Column) -> Column:
+    """An array of two longs, 128 bits; counters are 32 bits wide where a sequence is very long."""
+    again = F.transform(hashes, lambda h: F.xxhash64(h))
+    one = lambda x: F.when(F.size(x) < 1 << 14, fingerprint(x)).otherwise(fingerprint(x, 32))
+    return F.array(one(hashes), one(again))
+
+
+def _masks() -> list[int]:
+    """Which bits of a block differ in its neighbours."""
+    return [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= NEAR]
 
-def _block(fp: Column, k: int) -> Column:
-    first, bits = BLOCKS[k]
-    return F.shiftrightunsigned(fp, first).bitwiseAND((1 << bits) - 1).cast("int")
 
+def _blocks(fp: Column) -> Column:
+    """Structs (k, v): the value of each of the eight blocks."""
+    value = lambda half, j: F.shiftrightunsigned(fp[half], BLOCK_BITS * j).bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
+    return F.array(*[F.struct(F.lit(4 * half + j).alias("k"), value(half, j).alias("v")) for half in range(2) for j in range(4)])
 
-def _keys(fp: Column, near: bool) -> Column:
-    """Array of (block, value); with the one-bit neighbours if ``near``."""
-    out = []
-    for k, (_, bits) in enumerate(BLOCKS):
-        value = _block(fp, k)
-        for turned in [0, *([1 << b for b in range(bits)] if near else [])]:
-            out.append(F.struct(F.lit(k).alias("k"), value.bitwiseXOR(F.lit(turned)).alias("v")))
-    return F.array(*out)
+
+def distance(a: Column, b: Column) -> Column:
+    return F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
 
 
 def _shingles(own: Column, width: int) -> Column:
@@ -77,9 +101,11 @@ def _shingles(own: Column, width: int) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two arrays of shingles."""
+    """Weighted Jaccard of two arrays of shingles; only repeats are counted one by one."""
     times = lambda x, s: F.size(F.filter(x, lambda y: y == s))
-    shared = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, s: acc + F.least(times(a, s), times(b, s)))
+    common, plain = F.array_intersect(a, b), (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    counted = F.aggregate(common, F.lit(0), lambda acc, s: acc + F.least(times(a, s), times(b, s)))
+    shared = F.when(plain, F.size(common)).otherwise(counted)
     return shared / (F.size(a) + F.size(b) - shared)
 
 
@@ -96,26 +122,23 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> Dat
     # Shingles of the item and of the window, and how many they must share at least.
     c, cw = F.col("n") - width + 1, F.least(F.col("n") - width + 1, F.col("m"))
     need = F.ceil(F.lit(least / (1 + least)) * (c + cw) - 1e-9).cast("int")
-    hits = cut(hits.withColumns({"cw": cw, "need": need}).where("need <= cw"), "bench-hits")
+    asks = F.greatest(F.lit(1), F.ceil(F.col("need") * ANCHOR)).cast("int")
+    hits = cut(hits.withColumns({"cw": cw, "need": need}).where("need <= cw").withColumn("need", asks), "bench-hits")
     starts = _starts(hits)
     asked = starts.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("n", "s")).alias("asked"))
     asked = cut(asked, "bench-asked")
-    texts = docs.join(broadcast_if_small(asked, MOST_BROADCAST // 10), on=[docs["text_key"] == asked["text_key"], docs["doc_id"].eqNullSafe(asked["doc_id"])]).select(docs["doc_id"], docs["text_key"], "words", "asked")
+    texts = docs.join(broadcast_if_small(asked, MOST_BROADCAST, F.size("asked"), MOST_ENTRIES), on=[docs["text_key"] == asked["text_key"], docs["doc_id"].eqNullSafe(asked["doc_id"])]).select(docs["doc_id"], docs["text_key"], "words", "asked")
     part = F.transform("asked", lambda w: F.struct(w["n"].alias("n"), w["s"].alias("s"), F.slice(F.col("words"), w["s"] + 1, w["n"]).alias("w")))
     windows = texts.select("doc_id", "text_key", F.explode_outer(part).alias("x")).select("doc_id", "text_key", "x.n", "x.s", F.col("x.w").alias("window"))
     # The same words at the same place come from repeated rows.
     hashed = cut(windows.dropDuplicates(["doc_id", "text_key", "n", "s"]).withColumn("hashes", _shingle_hashes(F.col("window"), width)), "bench-windows")
-    marked = cut(hashed.withColumn("fp", fingerprint(F.col("hashes"))).drop("hashes"), "bench-marked")
-
-    entered = items.select("item_id", "n", "item_words", fingerprint(F.col("item_hashes")).alias("item_fp"))
-    entered = cut(entered, "bench-items")
-    index = entered.select("item_id", "n", "item_fp", F.explode(_keys(F.col("item_fp"), near=True)).alias("key"))
-    ask = marked.select("doc_id", "text_key", "n", "s", "fp", F.explode(_keys(F.col("fp"), near=False)).alias("key"))
-    met = ask.join(broadcast_if_small(index, MOST_BROADCAST), ["n", "key"])
-    near = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "text_key", "n", "s", "item_id").distinct()
+    marked = cut(hashed.withColumn("fp", fingerprints(F.col("hashes"))).drop("hashes"), "bench-marked")
+
+    entered = cut(items.select("item_id", "n", "item_words", fingerprints(F.col("item_hashes")).alias("item_fp")), "bench-items")
+    near = meet(marked, entries(entered)).where(distance(F.col("fp"), F.col("item_fp")) <= RADIUS).select("doc_id", "text_key", "n", "s", "item_id").distinct()
     own = marked.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("n").alias("_n"), F.col("s").alias("_s"), "window")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")) & (F.col("n") == F.col("_n")) & (F.col("s") == F.col("_s"))
-    pairs = near.join(own, same).join(broadcast_if_small(entered.select("item_id", "item_words"), MOST_BROADCAST // 10), "item_id")
+    pairs = near.join(own, same).join(broadcast_if_small(entered.select("item_id", "item_words"), MOST_BROADCAST, F.size("item_words"), MOST_ENTRIES), "item_id")
     shingled = pairs.withColumns({"a": _shingles(F.col("window"), width), "b": _shingles(F.col("item_words"), width)})
     exact = shingled.withColumn("similarity", similarity(F.col("a"), F.col("b")))
     found = exact.where(F.col("similarity") >= least)
@@ -123,6 +146,19 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> Dat
     return best.select("doc_id", "text_key", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.s")).cast("int").alias("start_word"), "windows")
 
 
+def entries(items: DataFrame) -> DataFrame:
+    """(n, k, v, item_id, item_fp): the eight blocks of each item and their 697 neighbours, a fixed list."""
+    masks = F.explode(F.array(*map(F.lit, _masks()))).alias("mask")
+    index = items.select("item_id", "n", "item_fp", F.explode(_blocks(F.col("item_fp"))).alias("key")).select("*", masks)
+    return index.select("n", F.col("key.k").alias("k"), F.col("key.v").bitwiseXOR(F.col("mask")).alias("v"), "item_id", "item_fp")
+
+
+def meet(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """Windows and items of one size with a common block, once for each such block."""
+    ask = windows.select("doc_id", "text_key", "n", "s", "fp", F.explode(_blocks(F.col("fp"))).alias("key"))
+    return ask.select("doc_id", "text_key", "n", "s", "fp", F.col("key.k").alias("k"), F.col("key.v").alias("v")).join(index, ["n", "k", "v"])
+
+
 def _starts(hits: DataFrame) -> DataFrame:
     """(doc_id, text_key, n, s) of the windows that hold enough hits.
 

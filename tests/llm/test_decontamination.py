@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from headwater.llm import decontamination as dc
 
 WORDS = [a + b for a in "ba ce di fo gu ka le mi no pu".split() for b in "ra se ti vo zu".split()]
@@ -94,3 +96,32 @@ def test_no_python_in_plan(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     plan = dc.contaminated(some, bench)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_fingerprint_is_the_majority_of_bits(spark):
+    rng = random.Random(4)
+    rows = [(k, [rng.getrandbits(64) - (1 << 63) for _ in range(n)]) for k, n in enumerate((0, 1, 2, 3, 40, 255, 256, 700))]
+    frame = spark.createDataFrame(rows, "k int, h array<bigint>")
+    for lane in (16, 32):
+        for r in frame.select("k", dc.fingerprint(F.col("h"), lane).alias("fp")).collect():
+            h = rows[r.k][1]
+            want = sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in h) > len(h))
+            assert r.fp % (1 << 64) == want
+
+
+def test_blocks_find_the_radius_and_little_else(spark):
+    """Every fingerprint within the radius is met; of unrelated ones under a tenth."""
+    rng = random.Random(5)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [rng.getrandbits(128) for _ in range(40)]
+    windows = []
+    for x in items:
+        for flips in (0, 10, 20, dc.RADIUS, dc.RADIUS):
+            windows.append(x ^ sum(1 << b for b in rng.sample(range(128), flips)))
+    halves = lambda x: [signed(x & (1 << 64) - 1), signed(x >> 64)]
+    asked = spark.createDataFrame([(i, 0, 7, 0, halves(x)) for i, x in enumerate(windows)], "doc_id long, text_key long, n int, s int, fp array<bigint>")
+    entered = spark.createDataFrame([(i, 7, halves(x)) for i, x in enumerate(items)], "item_id long, n int, item_fp array<bigint>")
+    met = {(r.doc_id, r.item_id) for r in dc.meet(asked, dc.entries(entered)).select("doc_id", "item_id").distinct().collect()}
+    near = {(i, j) for i, x in enumerate(windows) for j, y in enumerate(items) if (x ^ y).bit_count() <= dc.RADIUS}
+    assert near <= met and len(near) >= 200
+    assert len(met - near) < 0.1 * len(windows) * len(items)
