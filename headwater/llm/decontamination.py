@@ -87,9 +87,9 @@ def _masks() -> list[int]:
 
 
 def _blocks(fp: Column) -> Column:
-    """Structs (k, v): the value of each of the eight blocks."""
+    """The eight blocks, each its number and its value in one int."""
     value = lambda half, j: F.shiftrightunsigned(fp[half], BLOCK_BITS * j).bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
-    return F.array(*[F.struct(F.lit(4 * half + j).alias("k"), value(half, j).alias("v")) for half in range(2) for j in range(4)])
+    return F.array(*[value(half, j).bitwiseOR(F.lit(4 * half + j << BLOCK_BITS)) for half in range(2) for j in range(4)])
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -135,7 +135,8 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> Dat
     marked = cut(hashed.withColumn("fp", fingerprints(F.col("hashes"))).drop("hashes"), "bench-marked")
 
     entered = cut(items.select("item_id", "n", "item_words", fingerprints(F.col("item_hashes")).alias("item_fp")), "bench-items")
-    near = meet(marked, entries(entered)).where(distance(F.col("fp"), F.col("item_fp")) <= RADIUS).select("doc_id", "text_key", "n", "s", "item_id").distinct()
+    prints = broadcast_if_small(entered.select("item_id", "item_fp"), MOST_BROADCAST)
+    near = meet(marked, entries(entered)).join(prints, "item_id").where(distance(F.col("fp"), F.col("item_fp")) <= RADIUS).select("doc_id", "text_key", "n", "s", "item_id").distinct()
     own = marked.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("n").alias("_n"), F.col("s").alias("_s"), "window")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")) & (F.col("n") == F.col("_n")) & (F.col("s") == F.col("_s"))
     pairs = near.join(own, same).join(broadcast_if_small(entered.select("item_id", "item_words"), MOST_BROADCAST, F.size("item_words"), MOST_ENTRIES), "item_id")
@@ -147,16 +148,16 @@ def _matches(docs: DataFrame, items: DataFrame, width: int, least: float) -> Dat
 
 
 def entries(items: DataFrame) -> DataFrame:
-    """(n, k, v, item_id, item_fp): the eight blocks of each item and their 697 neighbours, a fixed list."""
+    """(n, key, item_id): the eight blocks of each item and their 697 neighbours, a fixed list."""
     masks = F.explode(F.array(*map(F.lit, _masks()))).alias("mask")
-    index = items.select("item_id", "n", "item_fp", F.explode(_blocks(F.col("item_fp"))).alias("key")).select("*", masks)
-    return index.select("n", F.col("key.k").alias("k"), F.col("key.v").bitwiseXOR(F.col("mask")).alias("v"), "item_id", "item_fp")
+    index = items.select("item_id", "n", F.explode(_blocks(F.col("item_fp"))).alias("key")).select("*", masks)
+    return index.select("n", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "item_id")
 
 
 def meet(windows: DataFrame, index: DataFrame) -> DataFrame:
-    """Windows and items of one size with a common block, once for each such block."""
+    """Windows and items of one size with a common block, once for each such block; neither side is broadcast."""
     ask = windows.select("doc_id", "text_key", "n", "s", "fp", F.explode(_blocks(F.col("fp"))).alias("key"))
-    return ask.select("doc_id", "text_key", "n", "s", "fp", F.col("key.k").alias("k"), F.col("key.v").alias("v")).join(index, ["n", "k", "v"])
+    return ask.join(index.hint("merge"), ["n", "key"]).drop("key")
 
 
 def _starts(hits: DataFrame) -> DataFrame:
