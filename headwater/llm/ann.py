@@ -1,21 +1,25 @@
 """Approximate nearest neighbours: coarse cells, product-quantised residuals, exact reranking.
 
-Fitting: k-means finds the cells and, for each part of the residuals, a code book. It uses at most
-``SAMPLE`` distinct vectors, in the order of a hash of their smallest id (the documented bound). Indexing:
-every distinct vector goes to its nearest cell and is coded by its residual. Searching: a query asks its
-nearest cells; in each, a table of distances from the query's residual to all code words gives
-asymmetric distances, and the best ``rerank`` are measured exactly, in double precision. How many cells are
-asked is measured, unless it is given: for some vectors of the sample, the exact neighbours within the sample
-are found, and enough cells are asked to hold ``COVER`` of them. Clustered vectors need few cells, vectors
-without structure many; the recall against brute force stays above 0.9 for both.
-
-Equal vectors are one entry with its ``k + 1`` smallest ids, which is all that any answer can need. Cells
-are cut into blocks of bounded size on both sides, so neither a hot cell nor many queries meet in one task.
-
-Defined cases: vectors that are null, zero, or hold a null or a value that is not finite take no part, nor
-do rows with a null id, nor vectors whose length is not the most frequent one (ties: the longer); an id that
-repeats counts once, with its smallest vector; fewer than k candidates give fewer rows; an empty table gives
-an empty result; other columns are ignored.
+Fitting: k-means finds the cells and, for each part of the residuals, a code book. It uses at most ``SAMPLE``
+distinct vectors, in the order of a hash of their smallest id (the documented bound); a cell has four of them at
+least. Indexing: every distinct vector goes to its nearest cell and is coded by its residual. Searching: a query
+asks its nearest cells; a table of distances from its residual to all code words gives asymmetric distances, the
+only thing computed for the members of these cells. The best ``rerank`` of all asked cells together are then
+measured exactly, in double precision.
+
+How many cells are asked and how many vectors are reranked is measured within the sample, unless given: enough
+cells to hold ``COVER`` of the true neighbours, and places enough among the asymmetric distances for ``COVER`` of
+them, in proportion to the whole table. Clustered vectors need few cells, vectors without structure many. A query
+whose cells hold fewer than k candidates asks all cells.
+
+Equal vectors are one entry with its ``k + 1`` smallest ids, which is all that any answer can need. Cells are put
+together into blocks of bounded size, large cells are split over several, and so are many queries of one block.
+
+Defined cases: vectors that are null, zero, or hold a null or a value that is not finite take no part, nor do
+rows with a null id, nor vectors whose length is not the most frequent one (ties: the longer), as they have no
+distance to the others; rows that share an id are rows of their own, and a query is answered once for each different
+vector of its id; fewer than k candidates give fewer rows; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +37,14 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SAMPLE = 20_000
-MOST_CELLS = 4096
-#: Share of the true neighbours within the sample whose cells a query must ask.
+#: Share of the true neighbours within the sample that cells and places must hold.
 COVER = 0.97
 _TRIALS = 256
 PARTS = 16
 CODES = 256
-RERANK = 128
-BLOCK_VECTORS = 4096
+#: Vectors reranked at least.
+RERANK = 400
+BLOCK_VECTORS = 65_536
 BLOCK_QUERIES = 2048
 
 
@@ -102,19 +106,29 @@ def fit(sample: np.ndarray, cells: int, parts: int = PARTS) -> Coder:
     return coder
 
 
-def probes_for(coder: Coder, sample: np.ndarray, k: int, cover: float = COVER) -> int:
-    """Cells to ask so that ``cover`` of the neighbours within the sample lie in them."""
+def effort(coder: Coder, sample: np.ndarray, k: int, cover: float = COVER) -> tuple[int, float]:
+    """(cells to ask, share of the table to rerank) that hold ``cover`` of the neighbours within the sample."""
     trial = sample[:_TRIALS]
     own = np.concatenate([coder.cells(sample[i : i + 4096])[:, 0] for i in range(0, len(sample), 4096)])
-    place = np.argsort(np.argsort(squared(trial, coder.centres), axis=1, kind="stable"), axis=1)
-    distance = squared(trial, sample)
-    distance[np.arange(len(trial)), np.arange(len(trial))] = np.inf
+    codes, columns = coder.encode(sample, own), np.arange(coder.books.shape[0])
     k = min(k, len(sample) - 1)
     if k < 1:
-        return len(coder.centres)
-    near = np.argpartition(distance, k - 1, axis=1)[:, :k]
-    ranks = np.sort(np.take_along_axis(place, own[near], axis=1).reshape(-1))
-    return int(ranks[min(len(ranks) - 1, math.ceil(cover * len(ranks)) - 1)]) + 1
+        return len(coder.centres), 1.0
+    cells, places = [], []
+    for i, q in enumerate(trial):
+        distance = squared(q[None, :], sample)[0]
+        distance[i] = np.inf
+        near = np.argpartition(distance, k - 1)[:k]
+        order = np.argsort(squared(q[None, :], coder.centres)[0], kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        cells.append(rank[own[near]])
+        tables = np.stack([coder.tables(q, c) for c in range(len(coder.centres))])
+        rough = tables[own[:, None], columns[None, :], codes].sum(1)
+        rough[i] = np.inf
+        places.append((rough[None, :] < rough[near][:, None]).sum(1))
+    last = lambda x: np.quantile(np.concatenate(x), cover, method="higher")
+    return int(last(cells)) + 1, (float(last(places)) + 1) / len(sample)
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -123,7 +137,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(F.coalesce(fine, F.lit(False))).where(F.exists("v", lambda x: x != 0))
-    rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "ann-rows")
+    rows = cut(rows, "ann-rows")
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows.where(F.size("v") == (size.n if size else 0))
 
@@ -133,73 +147,129 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _search_block(coder: Coder, k: int, rerank: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def blocks_of(sizes: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """For each cell its first block and the number of its blocks; small cells share one."""
+    out, block, held = {}, 0, 0
+    for cell, size in sorted(sizes.items()):
+        parts = math.ceil(size / most)
+        if held and (parts > 1 or held + size > most):
+            block, held = block + 1, 0
+        out[cell] = (block, parts)
+        block, held = (block + parts, 0) if parts > 1 else (block, held + size)
+    return out
+
+
+def _rough(coder: Coder, rerank: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(entries) and len(queries):
+            entries = entries.sort_values("cell", kind="stable")
             codes = np.frombuffer(b"".join(entries.code), np.uint8).reshape(len(entries), -1)
-            exact = np.frombuffer(b"".join(entries.vector)).reshape(len(entries), -1)
-            ids, columns = list(entries.ids), np.arange(codes.shape[1])
-            for qid, cell, raw in zip(queries.query_id, queries.cell, queries.vector, strict=True):
+            cell, key, columns = entries.cell.to_numpy(), entries.key.to_numpy(), np.arange(codes.shape[1])
+            for qkey, raw, asked in zip(queries.qkey, queries.vector, queries.cells, strict=True):
                 q = np.frombuffer(raw)
-                near = np.arange(len(codes))
-                if len(codes) > rerank:
-                    rough = coder.tables(q, cell)[columns, codes].sum(1)
-                    near = np.argpartition(rough, rerank - 1)[:rerank]
-                distance = np.sqrt(((exact[near] - q) ** 2).sum(1))
-                order = np.argsort(distance, kind="stable")
-                # as many entries as hold k ids, and all that tie with the last of them
-                held = np.cumsum([sum(i != qid for i in ids[near[o]]) for o in order])
-                last = distance[order[min(int(np.searchsorted(held, k)), len(order) - 1)]]
-                found = [(distance[o], i) for o in order if distance[o] <= last for i in ids[near[o]] if i != qid]
-                out += [(qid, i, d) for d, i in sorted(found)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                begin, end = np.searchsorted(cell, asked), np.searchsorted(cell, asked, side="right")
+                parts = [coder.tables(q, c)[columns, codes[b:e]].sum(1) for c, b, e in zip(asked, begin, end, strict=True) if e > b]
+                if parts:
+                    rough = np.concatenate(parts)
+                    at = np.concatenate([np.arange(b, e) for b, e in zip(begin, end, strict=True)])
+                    if len(at) > rerank:
+                        best = np.argpartition(rough, rerank - 1)[:rerank]
+                        rough, at = rough[best], at[best]
+                    out.append(pd.DataFrame({"qkey": qkey, "key": key[at], "rough": rough}))
+        empty = pd.DataFrame({"qkey": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "rough": np.zeros(0)})
+        return pd.concat(out) if out else empty
 
     return run
 
 
-def search(df: DataFrame, is_query: Callable[[Column], Column], k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probes: int | None = None, rerank: int = RERANK, cells: int | None = None) -> DataFrame:
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, qkey, vec_id, score) for the ids of an entry; the query's own row is left out once."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        distance = np.sqrt(((_matrix(batch.column(3)) - _matrix(batch.column(4))) ** 2).sum(1))
+        rows = []
+        for qid, qkey, ids, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), distance.tolist(), strict=True):
+            if d == 0 and qid in ids:
+                ids.remove(qid)
+            rows += [(qid, qkey, i, d) for i in ids]
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["query_id", "qkey", "vec_id", "score"])
+
+
+def _ask(coder: Coder, entries: DataFrame, queries: DataFrame, k: int, asked: int, rerank: int) -> DataFrame:
+    """(query_id, qkey, vec_id, score) of the k nearest found in the nearest ``asked`` cells."""
+    place = blocks_of({r.cell: r.n for r in entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}, BLOCK_VECTORS)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1))
+            rows = []
+            for qkey, v, near in zip(batch.column(0).to_pylist(), x, coder.cells(x, asked), strict=True):
+                found: dict[int, list[int]] = {}
+                for c in sorted(near.tolist()):
+                    first, parts = place.get(c, (0, 0))
+                    for b in range(first, first + parts):
+                        found.setdefault(b, []).append(c)
+                rows += [(b, qkey, v.tobytes(), cells) for b, cells in found.items()]
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+            types = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "qkey", "vector", "cells"])
+
+    spark = entries.sparkSession
+    # As many rows as cells, of which there are SAMPLE / 4 at most.
+    where = F.broadcast(spark.createDataFrame([(c, *p) for c, p in place.items()], "cell int, first int, parts int"))
+    dealt = cut(queries.select("qkey", "v").mapInArrow(deal, "block int, qkey long, vector binary, cells array<int>"), "ann-dealt")
+    sides = F.broadcast(dealt.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("qb")))
+    left = entries.join(where, "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int")).join(sides, "block")
+    left = left.select("block", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "cell", "key", "code")
+    right = dealt.join(sides, "block").select("block", F.pmod(F.xxhash64("qkey"), F.col("qb")).cast("int").alias("q"), "qkey", "vector", "cells")
+    rough = left.groupBy("block", "q").cogroup(right.groupBy("block", "q")).applyInPandas(_rough(coder, rerank), "qkey long, key long, rough double")
+    order = Window.partitionBy("qkey").orderBy("rough", "key")
+    best = rough.withColumn("i", F.row_number().over(order)).where(F.col("i") <= rerank).select("qkey", "key")
+    pairs = best.join(entries.select("key", "ids", "x"), "key").join(queries.select("query_id", "qkey", "v"), "qkey")
+    exact = pairs.select("query_id", "qkey", "ids", "x", "v").mapInArrow(_exact, "query_id long, qkey long, vec_id long, score double")
+    order = Window.partitionBy("qkey").orderBy("score", "vec_id")
+    return cut(exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ann-found")
+
+
+def search(df: DataFrame, is_query: Callable[[Column], Column], k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probes: int | None = None, rerank: int | None = None, cells: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id ``is_query`` accepts."""
     spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
     first = Window.partitionBy("v").orderBy("vec_id")  # Spark keeps the first ids of each task before it shuffles
     few = rows.withColumn("i", F.row_number().over(first)).where(F.col("i") <= k + 1)
-    kinds = cut(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-kinds")
+    kinds = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    kinds = cut(kinds.withColumn("key", F.monotonically_increasing_id()), "ann-kinds")
     n = kinds.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = kinds.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(SAMPLE).select("v").toArrow()
+    sample = kinds.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0], "v").limit(SAMPLE).select("v").toArrow()
     vectors = _matrix(sample.column(0).combine_chunks())
-    coder = fit(vectors, cells or max(1, min(MOST_CELLS, round(math.sqrt(n)))))
-    asked = probes or probes_for(coder, vectors, k)
+    coder = fit(vectors, cells or max(1, min(len(vectors) // 4, round(math.sqrt(n)))))
+    asked, share = effort(coder, vectors, k)
+    asked, rerank = probes or asked, rerank or max(RERANK, math.ceil(share * n))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(0))
                 cell = coder.cells(x)[:, 0]
-                codes = coder.encode(x, cell)
-                arrays = [pa.array(cell.astype(np.int32)), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["cell", "ids", "vector", "code"])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column(1))
-                near = coder.cells(x, asked)
-                raw = np.repeat(np.array([r.tobytes() for r in x], object), near.shape[1])
-                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), pa.array(ids), pa.array(raw, pa.binary())], ["cell", "query_id", "vector"])
-
-    entries = cut(kinds.select("v", "ids").mapInArrow(index, "cell int, ids array<long>, vector binary, code binary"), "ann-index")
-    queries = cut(rows.where(is_query(F.col("vec_id"))).select("vec_id", "v").mapInArrow(ask, "cell int, query_id long, vector binary"), "ann-queries")
-    # Sizes of cells: as many rows as cells, which are MOST_CELLS at most.
-    blocks = entries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("eb"))
-    sides = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("qb"))
-    plan = F.broadcast(blocks.join(sides, "cell"))
-    every = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
-    left = entries.join(plan, "cell").withColumn("e", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("eb")).cast("int")).withColumn("q", every("qb")).select("cell", "e", "q", "ids", "vector", "code")
-    right = queries.join(plan, "cell").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int")).withColumn("e", every("eb")).select("cell", "e", "q", "query_id", "vector")
-    found = left.groupBy("cell", "e", "q").cogroup(right.groupBy("cell", "e", "q")).applyInPandas(_search_block(coder, k, rerank), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                codes = pa.array([r.tobytes() for r in coder.encode(x, cell)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column(2), codes, batch.column(1), batch.column(0)], ["cell", "key", "code", "ids", "x"])
+
+    entries = cut(kinds.select("v", "ids", "key").mapInArrow(index, "cell int, key long, code binary, ids array<long>, x array<double>"), "ann-index")
+    queries = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "v").distinct()
+    queries = cut(queries.withColumn("qkey", F.monotonically_increasing_id()), "ann-queries")
+    found = _ask(coder, entries, queries, k, asked, rerank)
+    least = min(k, int(rows.limit(k + 1).count()) - 1)
+    counted = found.groupBy("qkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    short = cut(queries.join(counted, "qkey", "left_anti"), "ann-short") if asked < len(coder.centres) else None
+    if short is not None and not short.isEmpty():
+        again = _ask(coder, entries, short, k, len(coder.centres), rerank)
+        found = found.join(short.select("qkey"), "qkey", "left_anti").unionByName(again)
+    return found.select("query_id", "rank", "vec_id", "score")
