@@ -5,12 +5,14 @@ exclusive): ``assign`` (a telling name, a sign and a literal of 12 or more chara
 of 18 or more), ``hex`` (16 or more hex digits).
 
 Lexing reads a text as source code or configuration: it finds names followed by ``=``, ``:=``, ``:`` or
-``=>`` and a literal (quoted with escapes, triple-quoted, bare to the end of the word, or quoted pieces joined by
-``+``; on the same line or the next), quoted subscripts that are assigned to, and pairs from JSON, YAML, INI, shell exports and markup attributes alike. Constants are propagated: a name that was given
-a literal before hands it on when it is assigned to another name. Each literal is then scored by how telling
-the names are that it reaches (the parts of a name, split at case changes and separators) and by its form
-(length, kinds of characters, entropy); at ``SCORE`` or more the literal is reported as kind ``lexed``.
-Placeholders and plain words score low.
+``=>`` and a value: a literal (quoted with escapes, triple-quoted, or bare to the end of the word), another name, or
+several of these joined by ``+``; on the same line or the next; quoted subscripts that are assigned to; and pairs from
+JSON, YAML, INI, shell exports, markup elements, markup attributes and properties (``name`` or ``key`` beside
+``value`` or content) alike. Constants are propagated: where a name's value is or holds another name that is assigned
+anywhere in the text, before or after, the literals of that name reach the first one too. Each literal is then scored
+by the most telling name that it reaches (the parts of a name, split at case changes and separators) and by its form
+(length, kinds of characters, entropy); at ``SCORE`` or more the literal is reported as kind ``lexed``. A span runs
+from the first to the last literal of a joined value. Placeholders and plain words score low.
 
 Defined cases: null texts count as empty; texts without spans give zero counts and empty lists; repeated
 rows and null ids are returned as they come; an empty table gives an empty result; other columns are ignored.
@@ -41,16 +43,20 @@ _ASSIGN_HINT = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*
 
 #: A quoted literal, with escapes; tripled signs may span lines.
 _QUOTED = r"""\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{3}|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`"""
+_NAME = r"[A-Za-z_$][\w$.-]*+"
 #: A name (bare, quoted or a quoted subscript), a sign, and what follows on this line or the next; what opens the
 #: next line and has a sign of its own is a name there. Possessive repeats without bounds keep the search linear.
 _PAIR = re.compile(
-    rf"""(?<![\w$.-])["']?(?P<name>[A-Za-z_$][\w$.-]*+)(?:["'](?:[\x20\t]*+\])?+)?+[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+
-        (?:(?P<nl>\\?\r?\n[\x20\t]*+)?+(?P<quoted>{_QUOTED})(?P<more>(?:[\x20\t]*+\+[\x20\t]*+(?:{_QUOTED}))*+)(?(nl)(?!\]?[\x20\t]*+[:=]))
-          |\\?\r?\n[\x20\t]++(?![A-Za-z_$][\w$.-]*+[\x20\t]*+(?::|=(?!=*+[\x20\t]*+(?:\r?\n|\Z))))(?P<next>[^\s"'`,;(){{}}\[\]<>|]++)(?=[\x20\t]*+(?:\r?\n|\Z))
-          |(?P<bare>[^\s"'`,;(){{}}\[\]<>|]++))""",
+    rf"""(?<![\w$.-])["']?(?P<name>{_NAME})(?:["'](?:[\x20\t]*+\])?+)?+[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+
+        (?:(?P<nl>\\?\r?\n[\x20\t]*+)?+(?P<quoted>{_QUOTED})(?P<more>(?:[\x20\t]*+\+[\x20\t]*+(?:{_QUOTED}|{_NAME}))*+)(?(nl)(?!\]?[\x20\t]*+[:=]))
+          |\\?\r?\n[\x20\t]++(?!{_NAME}[\x20\t]*+(?::|=(?!=*+[\x20\t]*+(?:\r?\n|\Z))))(?P<next>[^\s"'`,;(){{}}\[\]<>|]++)(?=[\x20\t]*+(?:\r?\n|\Z))
+          |(?P<bare>[^\s"'`,;(){{}}\[\]<>|]++)(?P<after>(?:[\x20\t]++\+[\x20\t]*+(?:{_QUOTED}|{_NAME}))*+))""",
     re.ASCII | re.VERBOSE,
 )
-_PIECE = re.compile(_QUOTED)
+_TERM = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<word>{_NAME})", re.ASCII)
+#: Markup: a start tag, its attributes, and what stands before the next tag.
+_TAG = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]*+)(?P<rest>[^<>]*+)>(?P<text>[^<]*+)(?P<end></)?+", re.ASCII)
+_ATTRIBUTE = re.compile(r"""(?P<name>[\w.:-]++)\s*+=\s*+(?:"(?P<a>[^"]*+)"|'(?P<b>[^']*+)')""", re.ASCII)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How telling the parts of a name are.
 WEIGHTS = {
@@ -58,7 +64,8 @@ WEIGHTS = {
     "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "private": 0.5, "access": 0.4, "key": 0.5,
     "api": 0.3, "client": 0.2, "signing": 0.4, "encryption": 0.4, "session": 0.3, "cookie": 0.3, "jwt": 0.8, "pass": 0.7,
 }
-_PLAIN = re.compile(r"(?i)^(?:[a-z]+|[0-9.,:-]+|(.)\1*|.*(?:example|changeme|placeholder|your|xxxx|\*{3}|\$\{|<).*)$|^(?:true|false|none|null)$")
+#: Whole literals that are words, numbers, one repeated sign or a stand-in for a value.
+_PLAIN = re.compile(r"(?i)^(?:(?-i:[A-Z]?[a-z]+|[A-Z]+)|[0-9.,:-]+|(.)\1*|(?:your|my|example|sample|change[-_ ]?me|placeholder|insert|enter)(?:[-_ ][a-z]+)*|<[^<>]*>|\$\{[^{}]*\}|\{\{.*\}\}|%[({].*[)}]s?)$", re.DOTALL)
 
 
 def name_weight(name: str) -> float:
@@ -90,28 +97,79 @@ def _signs(literal: str) -> int:
     return 3 if len(literal) >= 6 and literal[:3] in ('"""', "'''") else 1
 
 
-def lexed_spans(text: str) -> list[tuple[int, int, str]]:
-    """Literals that telling names receive, directly or through other names."""
-    known: dict[str, tuple[str, int, int]] = {}  # a name's literal and its place
-    best: dict[tuple[int, int], tuple[float, str]] = {}
+Value = tuple[str, int, int]
+
+
+def _assignments(text: str) -> Iterator[tuple[str, Value | None, list[Value]]]:
+    """(name, its literal and place, other words of its value and their places)."""
     for m in _PAIR.finditer(text):
-        name, quoted, more = m["name"], m["quoted"], m["more"]
-        bare, at = (m["bare"], m.start("bare")) if m["next"] is None else (m["next"], m.start("next"))
-        if quoted is not None:
-            pieces = [quoted, *_PIECE.findall(more or "")]
-            value, start, end = "".join(p[_signs(p) : -_signs(p)] for p in pieces), m.start("quoted"), m.end("more")
-            start, end = (start + _signs(quoted), end - _signs(quoted)) if len(pieces) == 1 else (start, end)
-        elif bare in known:
-            value, start, end = known[bare]
+        joined = m["more"] or m["after"] or ""
+        base = m.start("more") if m["more"] else m.start("after")
+        words, pieces = [], []
+        if m["quoted"] is not None:
+            pieces.append((m["quoted"], m.start("quoted")))
         else:
-            value = bare.rstrip(".,:")
-            start, end = at, at + len(value)
-        if not value:
-            continue
-        known[name] = (value, start, end)
-        weight = max(name_weight(name), best.get((start, end), (0.0, ""))[0])
-        best[start, end] = (weight, value)
-    return [(a, b, "lexed") for (a, b), (w, v) in best.items() if w and w + literal_weight(v) >= SCORE]
+            word, at = (m["bare"], m.start("bare")) if m["next"] is None else (m["next"], m.start("next"))
+            word = word.rstrip(".,:")
+            words.append((word, at, at + len(word)))
+        for t in _TERM.finditer(joined):
+            if t["quoted"] is not None:
+                pieces.append((t["quoted"], base + t.start()))
+            else:
+                words.append((t["word"], base + t.start(), base + t.end()))
+        literal = None
+        if pieces:
+            (first, start), (last, end) = pieces[0], pieces[-1]
+            value = "".join(p[_signs(p) : -_signs(p)] for p, _ in pieces)
+            literal = (value, start + _signs(first), end + len(last) - _signs(last))
+            if len(pieces) > 1:
+                literal = (value, start, end + len(last))
+        yield m["name"], literal, words
+
+
+def _markup(text: str) -> Iterator[tuple[str, Value | None, list[Value]]]:
+    """Elements with plain content, and properties that name their value in attributes."""
+    for m in _TAG.finditer(text):
+        content = m["text"].strip()
+        at = m.start("text") + len(m["text"]) - len(m["text"].lstrip())
+        inside = (content, at, at + len(content)) if content and m["end"] and text.startswith(m["name"], m.end()) else None
+        if inside:
+            yield m["name"], inside, []
+        named = value = None
+        for a in _ATTRIBUTE.finditer(m["rest"]):
+            kind, group = a["name"].lower(), "a" if a["a"] is not None else "b"
+            if kind in ("name", "key", "id"):
+                named = named or a[group]
+            elif kind == "value":
+                value = (a[group], m.start("rest") + a.start(group), m.start("rest") + a.end(group))
+        if named and (value or inside):
+            yield named, value or inside, []
+
+
+def lexed_spans(text: str) -> list[tuple[int, int, str]]:
+    """Literals that telling names receive, directly or through other names."""
+    found = [*_assignments(text), *(_markup(text) if "<" in text else ())]
+    assigned = {name for name, _, _ in found}
+    weight = {name: name_weight(name) for name in assigned}
+    gives: dict[str, set[str]] = {}  # for each name those whose literals it receives
+    literals: dict[tuple[int, int], tuple[str, set[str]]] = {}
+    for name, literal, words in found:
+        for word, start, end in words:
+            if word in assigned and word != name:
+                gives.setdefault(name, set()).add(word)
+            elif literal is None and len(words) == 1 and word:
+                literal = (word, start, end)
+        if literal and literal[0]:
+            literals.setdefault(literal[1:], (literal[0], set()))[1].add(name)
+    todo = list(gives)
+    while todo:
+        name = todo.pop()
+        for other in gives.get(name, ()):
+            if weight[other] < weight[name]:
+                weight[other] = weight[name]
+                todo.append(other)
+    best = {place: (value, max(weight[n] for n in names)) for place, (value, names) in literals.items()}
+    return [(a, b, "lexed") for (a, b), (v, w) in best.items() if w and w + literal_weight(v) >= SCORE]
 
 
 def ordered(spans: list[tuple[int, int, str]]) -> str:

@@ -86,3 +86,56 @@ def test_query_digests(spark, tmp_path):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(base.count(f"{k}:") for k in ("assign", "access", "hex"))
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
     assert ss.find_secrets(docs.where("false")).count() == 0
+
+
+def test_more_forms():
+    value = "q7Zp93Kd0aXw"
+    for text in (
+        f"<password>{value}</password>", f"<db.password type='x'> {value} </db.password>", f'<property name="dbPassword" value="{value}"/>',
+        f'<entry key="client_secret">{value}</entry>', f"password = DB_PW\nDB_PW = '{value}'", f'auth_token: CHOSEN\nOTHER = "{value}"\nCHOSEN = OTHER',
+        f'pwd = PART + ""\nPART = "{value}"', f'pwd = "{value}-ends-in-your"', f'credentials = "{value}<{value}"', f'secret: "say \\"{value}\\""',
+    ):
+        assert any(value in found for found in lexed(text)), text
+    for text in ('password = "<password>"', "password = ${DB_PASSWORD}", 'password = "your-password-here"', "<password>your_password</password>", "a < b and token: idea", "colour = BASE\nBASE = 'q7Zp93Kd0aXw'"):
+        assert lexed(text) == [], text
+    assert lexed('pwd = "' + "a1B2-" * 20_000 + '"') == ["a1B2-" * 20_000]
+
+
+def test_planted_assignments():
+    """Statements of known forms in random order: exactly the literals of telling names are found."""
+    rng = random.Random(12)
+    fresh = lambda: "".join(rng.choice("abcdefghjkmnpqrstvwxyzABCDEFGHJKMNPQRSTVWXYZ23456789") for _ in range(24))
+    for _ in range(300):
+        lines, want = [], set()
+        for k in range(rng.randint(1, 12)):
+            value, telling = fresh(), rng.random() < 0.5
+            name = rng.choice(["dbPassword", "client_secret", "AUTH-TOKEN", "apiKeySecret", "jwt"]) if telling else rng.choice(["colour", "title", "build_number", "checksum"])
+            name += f"_{k}"
+            form = rng.randrange(7)
+            one = [f'{name} = "{value}"', f"{name}: {value}", f'{{"{name}": "{value}", "x": 1}}', f"export {name}='{value}'", f"<{name}>{value}</{name}>", f'cfg["{name}"] = `{value}`'][form] if form < 6 else None
+            if one is None:
+                pair = [f"C{k}x = '{value}'", f"{name} = C{k}x"]
+                rng.shuffle(pair)
+                lines += pair
+            else:
+                lines.append(one)
+            if telling:
+                want.add(value)
+        if not any("x =" in x for x in lines):
+            rng.shuffle(lines)
+        assert set(lexed("\n".join(lines))) == want, lines
+
+
+def test_time_is_linear():
+    began = time.perf_counter()
+    for text in ("<" * 200_000, '"' * 200_001, "a = b + " * 30_000, "<a " * 60_000, "x=" * 100_000, "<a b='" * 40_000, "k: \n" * 50_000, "'''" * 60_001, "<p>" * 60_000, "a=\"b\" + " * 30_000):
+        ss.lexed_spans(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_clashing_columns_and_repeats(spark):
+    rows = [(1, "token = 'abcdefABCDEF1234'", "k"), (1, "token = 'abcdefABCDEF1234'", "k"), (None, None, None), (3, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string").selectExpr("*", "kind as start", "kind as spans")
+    got = ss.find_secrets(docs).collect()
+    assert sorted((str(r.doc_id), len(r.spans)) for r in got) == [("1", 2), ("1", 2), ("3", 0), ("None", 0)]
+    assert ss.find_secrets(docs.where("false")).count() == 0
