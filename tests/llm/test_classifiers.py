@@ -95,12 +95,63 @@ def test_quality_without_negatives_or_labels(spark):
     assert quality.quality_scores(docs.where("false"), labels, lambda i: F.lit(True)).count() == 0
 
 
-def test_risk_is_non_negative_form():
+def learnt(x, positive, prior):
+    edges = np.quantile(x, np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0).T.astype(np.float32)
+    m = quality.Moments(len(positive), len(x), quality.moments_of(positive, edges), quality.moments_of(x, edges))
+    return edges, m, quality.minimise(m, prior)
+
+
+def test_risk_against_plain_loop():
+    """The risk from moments is that of the rows, and no nearby weights have a smaller one."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(4000, quality.N_FEATURES)).astype(np.float32)
-    y = rng.random(4000) < 0.6
+    x = rng.normal(size=(3000, quality.N_FEATURES)).astype(np.float32)
+    y = rng.random(3000) < 0.6
     x[y, 0] += 3
-    model = quality.train(x[y][:1000], x, 0.6)
-    assert abs(model.scores(x).mean() - 0.6) < 0.08
-    balanced = ((model.scores(x)[y] > 0.5).mean() + (model.scores(x)[~y] < 0.5).mean()) / 2
-    assert balanced > 0.85
+    edges, m, w = learnt(x, x[y], 0.6)
+
+    def f(row, w):
+        return w[-1] + sum(w[k * quality.BINS + sum(row[k] > e for e in edges[k])] for k in range(quality.N_FEATURES))
+
+    def plain(w):
+        p, u = [f(r, w) for r in x[y][:800][:200]], [f(r, w) for r in x[:200]]
+        return 0.6 * np.mean([(a - 1) ** 2 for a in p]), np.mean([(a + 1) ** 2 for a in u]) - 0.6 * np.mean([(a + 1) ** 2 for a in p])
+
+    few = quality.Moments(200, 200, quality.moments_of(x[y][:200], edges), quality.moments_of(x[:200], edges))
+    for v in (w, rng.normal(size=len(w))):
+        assert np.allclose(quality.risk_parts(v, few, 0.6), plain(v))
+    whole = lambda v: (lambda a, b: a + max(0.0, b) + 1e-3 * (v[:-1] ** 2).sum())(*quality.risk_parts(v, m, 0.6))
+    assert all(whole(w) <= whole(w + 0.01 * rng.normal(size=len(w))) for _ in range(50))
+    model = quality.model_of(w, 0.6, edges)
+    assert ((model.scores(x)[y] > 0.5).mean() + (model.scores(x)[~y] < 0.5).mean()) / 2 > 0.85
+
+
+def test_negative_risk_is_climbed():
+    """Few unlabelled rows, a prior too large: the second part would fall below zero, and is held near it."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, quality.N_FEATURES)).astype(np.float32)
+    positive = rng.normal(size=(400, quality.N_FEATURES)).astype(np.float32) + 1
+    edges, m, w = learnt(x, positive, 0.95)
+    assert quality.risk_parts(w, m, 0.95)[1] > -0.05 and np.isfinite(w).all()
+
+
+def test_prior_from_scores():
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(0.5, 0.3, 20000), rng.normal(-0.5, 0.3, 20000)
+    for p in (0.3, 0.6, 0.9):
+        mixed = np.concatenate([good[: int(20000 * p)], bad[: int(20000 * (1 - p))]])
+        counts = [np.histogram(v, 64, (-2, 2))[0] for v in (good[:5000], mixed)]
+        assert abs(quality.prior_of(*counts) - p) < 0.05
+
+
+def test_repeated_rows(spark):
+    docs, labels, _ = quality_tables(spark, 60)
+    twice = docs.unionByName(docs)
+    got = quality.quality_scores(twice, labels.unionByName(labels), lambda i: F.lit(True)).collect()
+    assert len(got) == 126
+    seen = {}
+    for r in got:
+        seen.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(v) == 1 for v in seen.values())
+    toxic_docs, toxic_labels, _ = toxic_tables(spark, 60)
+    model = toxicity.fit(toxic_docs.unionByName(toxic_docs), toxic_labels.unionByName(toxic_labels))
+    assert toxicity.score(toxic_docs.unionByName(toxic_docs), model).count() == 126
