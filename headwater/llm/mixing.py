@@ -5,8 +5,13 @@ domain. Rates r >= 0 minimise the squared error between expected totals S_k = su
 and targets T_k, each error weighted by 1/m_k with m_k the expected total at rate 1. The minimum is sought by
 projected gradient from r = 1; the step for a text is scaled by 1 / tokens, so that it is
   r <- max(0, r - step * sum_k P(k | text) * (S_k - T_k) / m_k).
-As the steps depend on the data only through the few totals S, a text's rate is a fold over their history:
-each round is one aggregation of as many sums as there are domains, and no state of the texts is kept.
+As the steps depend on the data only through the few totals S, a text's rate is a fold over their history, and no
+state of the texts is kept. The steps are sought on a table of cells: texts whose posteriors round to the same point
+of a grid, with their tokens and mean posterior, added up in one aggregation; the grid has about ``MOST_CELLS`` points
+at most, whatever the size of the table. Then one pass over all texts adds up the exact totals under these steps. If
+they miss the targets by more than ``TOLERANCE`` of all tokens, the goals move by what is missing and steps are added,
+at most ``PASSES`` times. The largest miss that is left, as a share of all tokens, is returned with each row as
+``residual``: targets that no rates reach (a domain that nobody belongs to) show there.
 
 Classifier: multinomial logistic regression on the shares of hashed byte trigrams of a text.
 Bound: it is fitted on at most ``max_rows`` labelled rows, taken in the order of a hash of the id; texts are
@@ -21,6 +26,7 @@ count each; an empty table gives an empty result; clashing names of other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +41,10 @@ from .common import as_bytes, cut, reserved, small_batches
 MAX_ROWS = 2000
 BUCKETS = 1 << 14
 STEP = 1.0
-ROUNDS = 60
+#: Steps at most on the cells in one go; they cost no pass over the texts.
+ROUNDS = 400
+PASSES = 5
+MOST_CELLS = 50_000
 TOLERANCE = 1e-4
 
 
@@ -121,16 +130,48 @@ def _rates(p: np.ndarray, history: np.ndarray) -> np.ndarray:
     return r
 
 
-def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | None, step: float = STEP, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """The history of steps for (tokens, posterior); ``targets``: weights of domains, any scale."""
-    k = len(domains)
+def grid_of(k: int) -> int:
+    """The finest grid on which ``MOST_CELLS`` points or fewer have coordinates that add up."""
+    g = 1
+    while g < 1000 and math.comb(g + k, k - 1) <= MOST_CELLS:
+        g += 1
+    return g
+
+
+def descend(p: np.ndarray, tokens: np.ndarray, r: np.ndarray, mass: np.ndarray, goal: np.ndarray, there: np.ndarray, step: float, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, rates) of projected gradient on rows of posteriors and tokens, from rates ``r`` on."""
+    history = []
+    for _ in range(rounds):
+        error = np.where(there, (tokens * r) @ p - goal, 0)
+        if np.abs(error).max(initial=0) <= tolerance:
+            break
+        history.append(step * error / np.maximum(mass, 1e-300))
+        r = np.maximum(0, r - p @ history[-1])
+    return np.array(history).reshape(-1, p.shape[1]), r
+
+
+def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | None, step: float = STEP, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+    """(the history of steps, the residual) for (tokens, posterior); ``targets``: weights of domains, any scale."""
+    k, grid = len(domains), grid_of(len(domains))
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        n = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+        return n, np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, k)
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, p = read(batch)
+            at, inverse = np.unique(np.rint(p * grid).astype(np.int16), axis=0, return_inverse=True)
+            total = np.zeros((len(at), k))
+            np.add.at(total, inverse.reshape(-1), n[:, None] * p)
+            cell = pa.array([row.tobytes() for row in at for _ in range(k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([cell, pa.array(np.tile(np.arange(k), len(at))), pa.array(total.reshape(-1))], ["cell", "k", "s"])
 
     def sums(history: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(k)
             for batch in batches:
-                n = batch.column(0).to_numpy(zero_copy_only=False)
-                p = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, k)
+                n, p = read(batch)
                 total += (n * _rates(p, history)) @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(total)], ["k", "s"])
 
@@ -140,32 +181,41 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | No
             out[r.k] = r.s
         return out
 
-    history = np.zeros((0, k))
-    mass = sums(history)
-    whole = mass.sum()
-    there = mass > 1e-9 * max(whole, 1.0)
+    cells: dict[bytes, np.ndarray] = {}
+    for r in members.select("tokens", "posterior").mapInArrow(compress, "cell binary, k long, s double").groupBy("cell", "k").agg(F.sum("s").alias("s")).collect():
+        cells.setdefault(bytes(r.cell), np.zeros(k))[r.k] = r.s
+    parts = np.array([cells[c] for c in sorted(cells)]).reshape(-1, k)
+    tokens = parts.sum(axis=1)
+    p = parts / np.maximum(tokens, 1e-300)[:, None]
+    mass = parts.sum(axis=0)
+    whole = max(mass.sum(), 1.0)
+    there = mass > 1e-9 * whole
     want = np.array([(targets or {}).get(d, np.nan) for d in domains], float) if targets else np.where(there, 1.0, 0.0)
     free = np.isnan(want)
     want = np.where(there & ~free, want, 0.0)
-    given = whole - mass[free].sum()
+    given = mass.sum() - mass[free].sum()
     goal = np.where(free, mass, want / max(want.sum(), 1e-300) * given)
-    total = mass
-    for _ in range(rounds):
-        error = np.where(there, total - goal, 0)
-        if np.abs(error).max(initial=0) <= tolerance * max(whole, 1.0):
+    history, r, aim, miss = np.zeros((0, k)), np.ones(len(p)), goal.copy(), np.inf
+    for _ in range(PASSES):
+        more, r = descend(p, tokens, r, mass, aim, there, step, rounds, tolerance * whole / 4)
+        longer = np.vstack([history, more])
+        error = np.where(there, goal - sums(longer), 0)
+        if np.abs(error).max(initial=0) >= miss:
+            break  # no better than before: the targets are out of reach
+        history, miss = longer, np.abs(error).max(initial=0)
+        if miss <= tolerance * whole or not len(more):
             break
-        history = np.vstack([history, step * error / np.maximum(mass, 1e-300)])
-        total = sums(history)
-    return history
+        aim = aim + error
+    return history, float(miss / whole)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", max_rows: int = MAX_ROWS) -> DataFrame:
-    """All columns of ``docs``, then tokens, domain (the likeliest), posterior (in order of domains) and rate.
+    """All columns of ``docs``, then tokens, domain (the likeliest), posterior (in order of domains), rate and residual.
 
     targets: weights of domains; none means the same weight for each.
     """
     model = fit_classifier(docs, labelled, id_col, text_col, domain_col, max_rows)
-    own = reserved(docs, "tokens", "domain", "posterior", "rate")
+    own = reserved(docs, "tokens", "domain", "posterior", "rate", "residual")
     place = docs.columns.index(text_col)
     types = [("tokens", T.LongType()), ("domain", T.StringType()), ("posterior", T.ArrayType(T.DoubleType()))]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(own[n], t) for n, t in types)])
@@ -180,7 +230,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, own["tokens"], own["domain"], own["posterior"]])
 
     members = cut(docs.mapInArrow(run, schema), "mix-members")
-    history = solve(members.select(F.col(own["tokens"]).alias("tokens"), F.col(own["posterior"]).alias("posterior")), model.domains, targets)
+    history, residual = solve(members.select(F.col(own["tokens"]).alias("tokens"), F.col(own["posterior"]).alias("posterior")), model.domains, targets)
     k, at = len(model.domains), members.columns.index(own["posterior"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,4 +238,5 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
             p = np.asarray(batch.column(at).flatten().to_numpy(zero_copy_only=False)).reshape(-1, k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(p, history))], [*batch.schema.names, own["rate"]])
 
-    return members.mapInArrow(add, T.StructType([*schema.fields, T.StructField(own["rate"], T.DoubleType())]))
+    rated = members.mapInArrow(add, T.StructType([*schema.fields, T.StructField(own["rate"], T.DoubleType())]))
+    return rated.withColumn(own["residual"], F.lit(residual))

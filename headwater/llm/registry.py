@@ -38,7 +38,7 @@ LANGUAGE_TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 def op4_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = mixing.mix(docs.select("doc_id", "text"), labelled_domains(docs, labels), LANGUAGE_TARGETS)
-    return found.select("doc_id", "tokens", "domain", "posterior", "rate")
+    return found.select("doc_id", "tokens", "domain", "posterior", "rate", "residual")
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
