@@ -14,7 +14,7 @@ def brute_own(text, least=ls.LEAST):
     idf = lambda w: math.log((1 + len(rows)) / (1 + df[w])) + 1
     best = []
     text = (text or "").lower()
-    units = [("header", u) for u in re.split(ls.UNIT_END, text)] + [("file", text)]
+    units = [("header", u) for u in re.split(ls.UNIT_END, text) + re.split(ls.PARAGRAPH_END, text)] + [("file", text)]
     for kind, u in units:
         c = Counter(ls._words(u))
         norm = math.sqrt(sum((k * idf(w)) ** 2 if w in df else k * idf(w) ** 2 for w, k in c.items()))
@@ -23,8 +23,8 @@ def brute_own(text, least=ls.LEAST):
                 dot = sum(c[w] * idf(w) * t[w] * idf(w) for w in t)
                 score = round(dot / norm / math.sqrt(sum((k * idf(w)) ** 2 for w, k in t.items())), 9)
                 if score >= least:
-                    best.append((-score, name))
-    return (min(best)[1], -min(best)[0]) if best else (None, None)
+                    best.append((name in ls.RESERVED, -score, name))
+    return (min(best)[2], -min(best)[1]) if best else (None, None)
 
 
 def brute(rows):
@@ -76,3 +76,31 @@ def test_empty_and_native(spark):
     got = ls.scan(files)
     assert got.count() == 0
     assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().toString())
+
+
+def test_whole_licences_and_usual_notices(spark):
+    head = "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n"
+    gpl = """/*
+ * tool - does things
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful.
+ */
+int main;"""
+    gpl_file = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy.\n\n" + "\n\n".join(f"Section {k}. Terms and conditions of the work apply." for k in range(300))
+    apache = "#!/bin/sh\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#     http://www.apache.org/licenses/LICENSE-2.0\n\nexec x"
+    texts = {"BSD-3-Clause": head + ls._BSD.replace("2. ", "\n2. ") + "\n\n" + ls._BSD_THIRD + "\n\n" + ls._BSD_AS_IS, "GPL-3.0": gpl, "Apache-2.0": apache, "Proprietary": head + "No part may be used."}
+    texts |= {name: f"{head}{group[0]}" for name, group in ls.FILES.items() if name != "BSD-3-Clause"}
+    rows = [(f"{name}/src/{k}", t) for k, (name, t) in enumerate(texts.items())] + [("GPL-3.0/COPYING", gpl_file), ("BSD-2-Clause/head", head + ls._BSD[:300])]
+    got = {r.path: r.own_licence for r in ls.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: n for p, n in got.items() if p != "BSD-2-Clause/head"} == {p: p.split("/")[0] for p, _ in rows if p != "BSD-2-Clause/head"}
+    assert got["BSD-2-Clause/head"] in ("Proprietary", "BSD-2-Clause")
+
+
+def test_shuffled_joins(spark, monkeypatch):
+    monkeypatch.setattr(ls, "MOST_BROADCAST", 0)
+    test_brute_force(spark)
