@@ -40,8 +40,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
 
 
-def _with_least(links: DataFrame, least: DataFrame, key: str) -> DataFrame:
+def _with_least(links: DataFrame, least: DataFrame, key: str, hubs_may_be: bool) -> DataFrame:
     """Links with the smallest neighbour of ``key``; hubs, links / HUB at most, are broadcast, others shuffled."""
+    if not hubs_may_be:
+        return links.join(least.select(key, "m"), key)
     hubs, others = F.broadcast(least.where(F.col("n") > HUB).select(key, "m")), least.where(F.col("n") <= HUB).select(key, "m")
     return links.join(hubs, key).unionByName(links.join(hubs, key, "left_anti").join(others, key))
 
@@ -60,8 +62,8 @@ def connected_components(links: DataFrame, contract: bool = True) -> DataFrame:
         before = tuple(now)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = _with_least(both, least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = _with_least(both, least, "a", now[0] > HUB).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         down = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _with_least(large, down, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("x")).where("x <> m")
+        small = _with_least(large, down, "b", now[0] > HUB).select(F.col("m"), F.explode(F.array("a", "b")).alias("x")).where("x <> m")
         edges = cut(small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "links")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, cut, reserved
 
 LEAST = 0.8
-MOST_BROADCAST = 200_000
+MOST_BROADCAST = 50_000
 LICENCE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 PARAGRAPH_END = r"\n(?:[ \t#*/;%-]*\r?\n)+"
 UNIT_END = r"\r?\n|(?<=[.!?;])[ \t]+"
