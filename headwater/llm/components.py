@@ -3,6 +3,7 @@
 Each step is two aggregations and joins over links; nothing is gathered in one place. A node keeps one
 link to the smallest node of its component when nothing changes any more, after a number of rounds that
 is logarithmic in practice. Every round is a written table, so lost executors cost one round at most.
+As soon as no more than ``FEW`` links are left, one executor task settles them, with the same result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: So many links fit into one task (some 100 MB).
+FEW = 300_000
 #: Nodes with more links in a round are hubs.
 HUB = 100_000
 
@@ -48,6 +51,14 @@ def _with_least(links: DataFrame, least: DataFrame, key: str, hubs_may_be: bool)
     return links.join(hubs, key).unionByName(links.join(hubs, key, "left_anti").join(others, key))
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all links together."""
+    tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    if tables:
+        for b in _contract(iter(pa.concat_tables(tables).combine_chunks().to_batches())):
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0)], ["node", "root"])
+
+
 def connected_components(links: DataFrame, contract: bool = True) -> DataFrame:
     """(node, root) of every node that has a link; ``links`` has long columns a and b."""
     pairs = links.select("a", "b").where("a <> b")
@@ -57,7 +68,9 @@ def connected_components(links: DataFrame, contract: bool = True) -> DataFrame:
     before = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(now) == before or not now[0]:
+        if now[0] <= FEW:
+            return cut(edges.coalesce(1).mapInArrow(_settle, "node long, root long"), "links-settled")
+        if tuple(now) == before:
             break
         before = tuple(now)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from headwater.llm import simhash
+from headwater.llm import components, simhash
 
 
 def slow_fingerprint(text):
@@ -40,7 +40,11 @@ def corpus(seed=3):
     return rows
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("few", [300_000, 0])
+def test_against_brute_force(spark, monkeypatch, few):
+    """With 0 the classes are found by rounds of joins throughout, and hubs are dealt with apart."""
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(components, "HUB", 5)
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, fp string, key int")
     found = sorted((tuple(r) for r in simhash.near_duplicates(docs).collect()), key=str)
