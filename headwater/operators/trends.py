@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from headwater.functions import text as X
 
 #: Our own watch terms (name, pattern), tuned to the test tables.
-WATCH = [("tion", r"(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])"), ("licence", "(?i)licen[sc]e"), ("is", r"(?<![A-Za-z0-9_])is(?![A-Za-z0-9_])"), ("der", r"(?<![A-Za-z0-9_])der(?![A-Za-z0-9_])"), ("que", r"(?<![A-Za-z0-9_])que(?![A-Za-z0-9_])"), ("was", r"(?<![A-Za-z0-9_])was(?![A-Za-z0-9_])"), ("for", r"(?<![A-Za-z0-9_])for(?![A-Za-z0-9_])"), ("with", r"(?<![A-Za-z0-9_])with(?![A-Za-z0-9_])")]
+WATCH = [("the", r"(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])"), ("licence", "(?i)licen[sc]e"), ("is", r"(?<![A-Za-z0-9_])is(?![A-Za-z0-9_])"), ("der", r"(?<![A-Za-z0-9_])der(?![A-Za-z0-9_])"), ("que", r"(?<![A-Za-z0-9_])que(?![A-Za-z0-9_])"), ("was", r"(?<![A-Za-z0-9_])was(?![A-Za-z0-9_])"), ("for", r"(?<![A-Za-z0-9_])for(?![A-Za-z0-9_])"), ("with", r"(?<![A-Za-z0-9_])with(?![A-Za-z0-9_])")]
 COLUMNS = ["en", "fr", "de", "es"]
 
 
@@ -27,8 +27,9 @@ def proper_nouns(items: DataFrame, id_col: str = "doc_id", stop: list[str] | Non
     stop = stop or ["the", "is", "it", "der", "la"]
     word = F.col("t.w")
     placed = items.select(F.col(id_col).alias("id"), F.posexplode(X.tokens(F.col("title"))).alias("i", "t"))
-    letters = F.length(F.regexp_replace(word, r"[^\p{L}]", "")) >= 2
-    usable = (F.length(word) >= 2) & word.rlike(r"^[\p{L}0-9][\p{L}0-9.+&'’-]*$") & letters & (word.rlike(r"^\p{Lu}") | X.is_distinctive(word)) & ~F.lower(word).isin(*stop) & ~word.rlike("^[0-9]") & ((F.col("i") > 0) | X.is_distinctive(word))
+    shaped = word.rlike(r"^\p{L}.*[\p{L}\p{N}+]$") & word.rlike(r"\p{L}.*\p{L}")
+    named = X.is_distinctive(word) | (word.rlike(r"^\p{Lu}") & (F.col("i") > 0))
+    usable = shaped & named & ~F.lower(word).isin(*stop)
     by = Window.partitionBy("id").orderBy("i")
     marked = placed.select("id", "i", word.alias("w"), usable.alias("usable"), F.col("t.stop").alias("stop"))
     cut = (~F.col("usable")).cast("int") + F.coalesce(F.lag("stop").over(by).cast("int"), F.lit(0))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from headwater.functions.text import ENTITIES
+from html.entities import name2codepoint
 
-_TRACK = "^(utm_[a-z_]*|ref|fbclid|gclid|mc_cid|mc_eid)(=|$)"
+_TRACK = "(?i)^(utm_[a-z_]*|ref|fbclid|gclid|mc_cid|mc_eid)(=|$)"
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 _ANCHOR = "TIMESTAMP '2024-02-01 00:00:00'"
 _SPACE = r"[ \t\r\n\f\x{00a0}\x{200b}]+"
@@ -23,16 +23,19 @@ def _strip_tags(h: str) -> str:
     for tag in ("script", "style", "figure", "figcaption", "iframe", "noscript"):
         h = f"regexp_replace({h}, '(?is)<{tag}\\b.*?</{tag}>', ' ', 'g')"
     h = f"regexp_replace({h}, '(?s)<!--.*?-->', '', 'g')"
-    h = f"regexp_replace({h}, '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|header|footer|nav|blockquote)(?:\\s[^>]*)?/?>', ' ', 'g')"
+    h = f"regexp_replace({h}, '(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:\\s[^>]*)?/?>', ' ', 'g')"
     return f"regexp_replace({h}, '<[^>]*>', '', 'g')"
 
 
 def _decode(t: str) -> str:
+    """Names and code points from the standard library's table, written apart from the implementation."""
+    names = "MAP {" + ", ".join(f"{_q(n)}: {_q(' ' if n == 'nbsp' else chr(c))}" for n, c in [*name2codepoint.items(), ("apos", 39)]) + "}"
+    code = "CASE WHEN e[2] IN ('x', 'X') THEN TRY_CAST('0x' || e[3:] AS BIGINT) ELSE TRY_CAST(e[2:] AS BIGINT) END"
+    char = f"CASE WHEN e LIKE '#%' THEN CASE WHEN {code} BETWEEN 1 AND 1114111 AND NOT {code} BETWEEN 55296 AND 57343 THEN chr(({code})::INTEGER) ELSE '' END ELSE {names}[e] END"
     for _ in range(2):
-        for code, char in ((39, "'"), (34, '"'), (8217, "’"), (160, " ")):
-            t = f"replace({t}, '&#{code};', {_q(char)})"
-        for name, char in ENTITIES.items():
-            t = f"replace({t}, '&{name};', {_q(char)})"
+        pieces = f"list_transform(string_split({t}, '&'), lambda x, i: struct_pack(x := x, i := i, e := regexp_extract(x, '^(#[0-9]{{1,9}}|#[xX][0-9a-fA-F]{{1,8}}|[A-Za-z][A-Za-z0-9]*);', 1)))"
+        one = char.replace("e[", "s.e[").replace("WHEN e ", "WHEN s.e ").replace("}[e]", "}[s.e]").replace("[s.s.e", "[s.e")
+        t = f"array_to_string(list_transform({pieces}, lambda s: CASE WHEN s.i = 1 THEN s.x WHEN s.e = '' THEN '&' || s.x ELSE coalesce(({one}) || regexp_replace(s.x, '^[^;]*;', ''), '&' || s.x) END), '')"
     return t
 
 
@@ -66,13 +69,13 @@ reasons AS (
     WHEN source = 'src19' THEN 'noise'
     WHEN source = 'src7' AND NOT regexp_matches(title, '(?i)\bthe\b') THEN 'excluded' END AS reason
   FROM heads)"""
-_WORD = "regexp_replace(regexp_replace(regexp_replace(raw, '^[\"''“”‘’(\\[{«¿¡#@]+', ''), '[\"''“”‘’)\\]}»:;,.!?…—–|]+$', ''), '(?i)[''’]s$', '')"
+_WORD = r"regexp_replace(regexp_replace(raw, '^[\p{P}|]+|[\p{P}|]+$', '', 'g'), '(?i)[''’]s$', '')"
 _TOKENS = rf"""
 pieces AS (SELECT doc_id, source, string_split_regex(title, '[ \t\r\n]+') AS l FROM heads),
 raws AS (SELECT doc_id, source, unnest(l) AS raw, unnest(range(len(l))) AS i FROM pieces),
-toks AS (SELECT doc_id, source, i, {_WORD} AS w, regexp_matches(raw, '[:;,.!?)\]”"''’…—–|]$') AS stop FROM raws)"""
+toks AS (SELECT doc_id, source, i, {_WORD} AS w, regexp_matches(raw, '[\p{{P}}|]$') AS stop FROM raws)"""
 _WATCH = """
-terms(term, pattern) AS (VALUES ('tion', '\\bthe\\b'), ('licence', '(?i)licen[sc]e'), ('is', '\\bis\\b'), ('der', '\\bder\\b'), ('que', '\\bque\\b'), ('was', '\\bwas\\b'), ('for', '\\bfor\\b'), ('with', '\\bwith\\b'))"""
+terms(term, pattern) AS (VALUES ('the', '\\bthe\\b'), ('licence', '(?i)licen[sc]e'), ('is', '\\bis\\b'), ('der', '\\bder\\b'), ('que', '\\bque\\b'), ('was', '\\bwas\\b'), ('for', '\\bfor\\b'), ('with', '\\bwith\\b'))"""
 _SCORED = rf"""
 hits AS (SELECT h.*, t.term FROM heads h JOIN terms t ON regexp_matches(h.title, t.pattern) WHERE h.date >= {_ANCHOR} - INTERVAL 96 HOUR),
 dominant AS (
@@ -94,7 +97,7 @@ subs AS (
   FROM customer),
 digits AS (SELECT *, regexp_replace(regexp_replace(phone, '[^0-9]', '', 'g'), '^00', '') AS g FROM subs),
 nat AS (SELECT *, regexp_replace(CASE WHEN regexp_matches(g, '^55[0-9]{10,11}$') THEN substr(g, 3) ELSE g END, '^0', '') AS n FROM digits),
-phones AS (SELECT *, CASE WHEN regexp_matches(n, '^[1-9][1-9](9[0-9]{8}|[2-5][0-9]{7})$') THEN '+55' || n END AS e164 FROM nat)"""
+phones AS (SELECT *, CASE WHEN regexp_matches(phone, '^\\s*(\\+|00)') AND NOT regexp_matches(g, '^55') AND regexp_matches(g, '^[1-9][0-9]{7,14}$') THEN '+' || g WHEN regexp_matches(n, '^[1-9][1-9](9[0-9]{8}|[2-5][0-9]{7})$') THEN '+55' || n END AS e164 FROM nat)"""
 _CACHE = "cache AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'q' || toxic ELSE '' END AS cached FROM labels)"
 _LOG = "log AS (SELECT user_id AS id, event_id AS seq, ts, event_type AS title, CASE WHEN value > 50 THEN 'img' || event_id END AS image, props AS url, value AS heat FROM events)"
 _UPSERT = f"""WITH {_LOG}
@@ -138,8 +141,8 @@ SELECT user_id, event_type AS mode FROM n QUALIFY row_number() OVER (PARTITION B
     "title_case_sources": rf"""WITH {_H}, {_TOKENS}, f AS (SELECT source, regexp_matches(w, '^\p{{Lu}}') AS cap FROM toks WHERE i > 0 AND length(w) > 3 AND regexp_matches(w, '^\p{{L}}'))
 SELECT source, count(*) AS words, count(*) FILTER (cap) AS caps, count(*) >= 12 AND count(*) FILTER (cap) / count(*) > 0.6 AS title_case FROM f GROUP BY source""",
     "proper_nouns": rf"""WITH {_H}, {_TOKENS},
-d AS (SELECT *, regexp_matches(w, '^\p{{Ll}}+\p{{Lu}}|^\p{{Lu}}[\p{{L}}0-9]*\p{{Lu}}[\p{{L}}0-9]*$') AS odd FROM toks),
-u AS (SELECT *, length(w) >= 2 AND regexp_matches(w, '^[\p{{L}}0-9][\p{{L}}0-9.+&''’-]*$') AND length(regexp_replace(w, '[^\p{{L}}]', '', 'g')) >= 2 AND (regexp_matches(w, '^\p{{Lu}}') OR odd) AND lower(w) NOT IN ('the','is','it','der','la') AND NOT regexp_matches(w, '^[0-9]') AND (i > 0 OR odd) AS usable FROM d),
+d AS (SELECT *, regexp_matches(w, '^.+\p{{Lu}}') AS odd FROM toks),
+u AS (SELECT *, regexp_matches(w, '^\p{{L}}.*[\p{{L}}\p{{N}}+]$') AND regexp_matches(w, '\p{{L}}.*\p{{L}}') AND lower(w) NOT IN ('the','is','it','der','la') AND (odd OR (i > 0 AND regexp_matches(w, '^\p{{Lu}}'))) AS usable FROM d),
 c AS (SELECT *, (NOT usable)::INT + coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY i)::INT, 0) AS cut FROM u),
 s AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c)
 SELECT DISTINCT doc_id, array_to_string((list(w ORDER BY i))[1:3], ' ') AS term FROM s WHERE usable GROUP BY doc_id, run""",
@@ -172,10 +175,10 @@ SELECT d > 5 OR (d = 5 AND m >= 405) AS draft_due, d > 5 OR (d = 5 AND m >= 540)
 SELECT email, arg_max(name, seq) FILTER (name <> '') AS name, arg_max(phone, seq) FILTER (phone IS NOT NULL) AS phone, epoch(max(ts))::BIGINT AS consent_at, epoch(min(ts))::BIGINT AS created_at, arg_min(source, seq) AS source FROM l GROUP BY email""",
     "sync_stats": "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS pending, count(*) FILTER (o_orderstatus = 'F') AS failed FROM orders",
     "status_case": "SELECT CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'P' THEN 'error' ELSE 'pending' END AS status, count(*) AS n FROM orders GROUP BY 1",
-    "csv_guard": r"""WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=' WHEN 1 THEN 'a"b;' ELSE '' END || substr(text, 1, 60) AS t FROM documents),
+    "csv_guard": r"""WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=' WHEN 1 THEN 'a"b;' ELSE '' END || text AS t FROM documents),
 g AS (SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\-@\t\r]') THEN '''' || t ELSE t END AS t FROM r)
 SELECT doc_id, CASE WHEN regexp_matches(t, '[";\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS cell FROM g""",
-    "html_escape": """SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS safe FROM pages""",
+    "html_escape": """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS safe FROM pages""",
     "cache_lookup": f"WITH {_CACHE} SELECT d.doc_id, cached, CASE WHEN cached IS NULL THEN 'miss' WHEN cached = '' THEN 'known_missing' ELSE 'hit' END AS state FROM documents d LEFT JOIN cache c ON d.doc_id = c.doc_id",
     "cache_gc": f"WITH {_CACHE} SELECT doc_id, cached FROM cache WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "negative_cache": f"WITH {_CACHE} SELECT CASE WHEN cached IS NULL THEN 'miss' WHEN cached = '' THEN 'known_missing' ELSE 'hit' END AS state, count(*) AS n FROM documents d LEFT JOIN cache c ON d.doc_id = c.doc_id GROUP BY 1",
@@ -184,7 +187,7 @@ c AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the','of','and','in','t
 SELECT doc_id, en, fr, en >= 2 AND en > fr AS untranslated FROM c""",
     "batched_inference": f"WITH {_H} SELECT doc_id, upper({_norm('title')}) AS output FROM heads",
     "model_output_guard": "WITH p AS (SELECT doc_id % 60 AS item_id, min(doc_id) AS pos FROM documents GROUP BY 1) SELECT item_id, pos FROM p WHERE item_id IN (SELECT item_id FROM benchmark) ORDER BY pos, item_id LIMIT 8",
-    "weekly_edition": """WITH p AS (SELECT doc_id % 60 AS item_id, min(doc_id) AS pos FROM documents WHERE doc_id % 60 > 57 GROUP BY 1),
+    "weekly_edition": """WITH p AS (SELECT doc_id % 60 AS item_id, min(doc_id) AS pos FROM documents GROUP BY 1),
 g AS (SELECT item_id, pos FROM p WHERE item_id IN (SELECT item_id FROM benchmark) ORDER BY pos, item_id LIMIT 8),
 f AS (SELECT item_id, row_number() OVER (ORDER BY length(text) DESC, item_id) AS pos FROM benchmark)
 SELECT item_id, pos FROM g WHERE (SELECT count(*) FROM g) >= 3 UNION ALL SELECT item_id, pos FROM f WHERE pos <= 8 AND (SELECT count(*) FROM g) < 3""",

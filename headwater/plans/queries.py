@@ -202,12 +202,12 @@ def status_case(spark, d):
 
 
 def csv_guard(spark, d):
-    raw = F.concat(F.when(F.col("doc_id") % 3 == 0, "=").when(F.col("doc_id") % 3 == 1, 'a"b;').otherwise(""), F.substring("text", 1, 60))
+    raw = F.concat(F.when(F.col("doc_id") % 3 == 0, "=").when(F.col("doc_id") % 3 == 1, 'a"b;').otherwise(""), F.col("text"))
     return table(spark, d, "documents").select("doc_id", X.csv_cell(raw).alias("cell"))
 
 
 def html_escape(spark, d):
-    return pages(spark, d).select("page_id", X.escape_html(F.substring("html", 1, 300)).alias("safe"))
+    return pages(spark, d).select("page_id", X.escape_html(F.col("html")).alias("safe"))
 
 
 def verdicts(spark, d):
@@ -255,7 +255,7 @@ def model_output_guard(spark, d):
 
 def weekly_edition(spark, d):
     c = table(spark, d, "benchmark").select("item_id", F.length("text").cast("double").alias("heat"))
-    return state.weekly_edition(c, picks(spark, d).where("item_id > 57")).select("item_id", F.col("pos").cast("long").alias("pos"))
+    return state.weekly_edition(c, picks(spark, d)).select("item_id", F.col("pos").cast("long").alias("pos"))
 
 
 def semi_live_columns(spark, d):

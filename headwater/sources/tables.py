@@ -6,16 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder.
-LOCAL_WORK_DIR = "file:///tmp/checkpoints/headwater-core"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def work_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR).rstrip("/")
+    """The shared folder that the session names; without one a single-machine session uses its warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/headwater-core").rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
