@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.functions import text as X
-from headwater.sources.tables import cut
+from headwater.sources.tables import cut, file_system, swap_in
 
 #: Dates in the stand-in tables count back from here.
 ANCHOR = "2024-02-01 00:00:00"
@@ -99,8 +100,12 @@ def run_report(rows: DataFrame) -> DataFrame:
 
 def gated_write(rows: DataFrame, path: str, least: int = 40) -> int:
     """Writes a snapshot only if it has enough rows; else the previous one stays and an error is raised."""
-    n = rows.count()
+    spark, aside = rows.sparkSession, f"{path}.new-{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
+    n = spark.read.schema(rows.schema).parquet(aside).count()
     if n < least:
+        fs, place = file_system(spark, aside)
+        fs.delete(place, True)
         raise ValueError(f"{n} rows, fewer than {least}: the previous snapshot stays")
-    rows.write.mode("overwrite").parquet(path)
+    swap_in(spark, aside, path)
     return n

@@ -339,11 +339,9 @@ def news_stream(spark, d):
 
 
 def stream_rate_limit(spark, d):
-    import uuid
-
     from headwater.streaming import micro_batches
 
-    found = micro_batches.rate_limit_stream(event_stream(spark, d), 1, f"rate_{uuid.uuid4().hex}")
+    found = micro_batches.rate_limit_stream(event_stream(spark, d), 1)
     return found.select("user_id", F.unix_timestamp("start").alias("start"), "n")
 
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from headwater.plans import queries as plans
+from headwater.plans import serving
 from headwater.plans.oracles import ORACLES
+from headwater.plans.serving_oracles import SERVING
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +17,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in plans.ALL}
+    return {f.__name__: f for f in [*plans.ALL, *serving.ALL]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | SERVING

@@ -23,3 +23,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(the file system, the path in it), for whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    fs, place = file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def swap_in(spark: SparkSession, aside: str, path: str) -> None:
+    """Puts a written folder in the place of another, which stays readable until the new one is complete."""
+    fs, new = file_system(spark, aside)
+    _, old = file_system(spark, path)
+    _, spare = file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    had = fs.exists(old)
+    if had and not fs.rename(old, spare):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(spare, old)
+        raise OSError(f"cannot move the new table to {path}")
+    if had:
+        fs.delete(spare, True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.operators import state
-from headwater.sources.tables import work_dir
+from headwater.sources.tables import children, work_dir
 
 NEWS = "id long, title string, image string, url string, first_seen timestamp, heat double"
 
@@ -16,24 +16,39 @@ NEWS = "id long, title string, image string, url string, first_seen timestamp, h
 def upsert_stream(spark: SparkSession, source: DataFrame, path: str | None = None) -> str:
     """Merges each micro-batch into a versioned state table; returns the path of the last version.
 
-    A batch that is delivered again finds its version written and changes nothing.
+    A batch that is delivered again writes its version again from the one before. A start with nothing new returns
+    the version that is there; without any the path of an empty one.
     """
     path = path or f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    done: dict[str, int] = {"last": -1}
 
     def merge(batch: DataFrame, number: int) -> None:
         old = spark.createDataFrame([], NEWS) if number == 0 else spark.read.schema(NEWS).parquet(f"{path}/v{number - 1}")
         state.merge_news(old, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
-        done["last"] = number
 
     query = source.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return f"{path}/v{done['last']}"
+    versions = [int(n[1:]) for n in children(spark, path) if n[:1] == "v" and n[1:].isdigit() and "_SUCCESS" in children(spark, f"{path}/{n}")]
+    if not versions:
+        spark.createDataFrame([], NEWS).write.parquet(f"{path}/v0")
+    return f"{path}/v{max(versions, default=0)}"
 
 
-def rate_limit_stream(source: DataFrame, limit: int, name: str, minutes: int = 60) -> DataFrame:
-    """(user_id, start, n) of the tumbling windows over the limit, from a stream into a table in memory."""
+def rate_limit_stream(source: DataFrame, limit: int, path: str | None = None, minutes: int = 60) -> DataFrame:
+    """(user_id, start, n) of the tumbling windows over the limit.
+
+    Each micro-batch writes the windows that changed to files; windows leave the state ten days behind the latest event.
+    """
+    spark = source.sparkSession
+    path = path or f"{work_dir(spark)}/rates-{uuid.uuid4().hex}"
     counts = source.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 days").groupBy(F.window("ts", f"{minutes} minutes"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    changed = counts.select("user_id", F.col("window.start").alias("start"), "n")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/number={number}")
+
+    query = changed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return source.sparkSession.table(name).where(F.col("n") > limit).select("user_id", F.col("window.start").alias("start"), "n")
+    if not children(spark, f"{path}/batches"):
+        return spark.createDataFrame([], changed.schema)
+    seen = spark.read.schema(changed.schema).parquet(f"{path}/batches/*")
+    return seen.groupBy("user_id", "start").agg(F.max("n").alias("n")).where(F.col("n") > limit).select("user_id", "start", "n")

@@ -104,3 +104,41 @@ def test_entry_without_the_optional_part(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stream_restart(spark, tmp_path):
+    """A start with nothing new returns the version that is there."""
+    from headwater.plans import queries
+    from headwater.streaming import micro_batches
+
+    source = lambda: queries.news_stream(spark, "/root/testdata/sf0.001")
+    first = micro_batches.upsert_stream(spark, source(), f"{tmp_path}/s")
+    again = micro_batches.upsert_stream(spark, source(), f"{tmp_path}/s")
+    assert again == first and spark.read.parquet(again).count() > 0
+
+
+def test_gate_keeps_the_snapshot(spark, tmp_path):
+    path = f"{tmp_path}/snap"
+    assert curate.gated_write(spark.range(50), path) == 50
+    with pytest.raises(ValueError):
+        curate.gated_write(spark.range(10), path)
+    assert spark.read.parquet(path).count() == 50
+    assert curate.gated_write(spark.read.parquet(path).where("id < 45"), path) == 45
+    assert spark.read.parquet(path).count() == 45
+
+
+def test_feed_text_cases(spark):
+    assert one(spark, X.decode_entities(F.lit("&ccedil;&#231;&#xe7; &amp;amp; &#0; &zzz; a & b"))) == "ççç &  &zzz; a & b"
+    assert one(spark, X.clean_url(F.lit("https://a.example/x?UTM_SOURCE=1"))) == "https://a.example/x"
+    assert one(spark, X.phone_e164(F.lit("+1 415 555 2671"))) == "+14155552671"
+    assert one(spark, F.unix_timestamp(X.parse_date(F.lit("seg, 02 de fevereiro de 2024 03:04")))) == 1706843040
+    assert one(spark, X.base64url_decode(X.base64url_encode(F.lit("é?>~ x")))) == "é?>~ x"
+    assert one(spark, X.base64url_decode(F.lit("!!"))) is None
+    assert one(spark, X.absolute_url(F.lit("a.png"), F.lit("http://s.example/d/e?q#f"))) == "https://s.example/d/a.png"
+
+
+def test_edition_falls_back_to_the_hottest(spark):
+    c = spark.createDataFrame([(i, float(i)) for i in range(12)], "item_id int, heat double")
+    few = spark.createDataFrame([(1, 5), (99, 1), (1, 2)], "item_id int, pos int")
+    assert [r.item_id for r in state.weekly_edition(c, few).orderBy("pos").collect()] == list(range(11, 3, -1))
+    assert state.weekly_edition(c.limit(2), few).count() == 0

@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 from headwater.plans import queries as plans
+from headwater.plans import serving
 from headwater.plans.oracles import ORACLES
+from headwater.plans.serving_oracles import SERVING
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -24,10 +26,10 @@ def rounded(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("plan", plans.ALL, ids=lambda p: p.__name__)
+@pytest.mark.parametrize("plan", [*plans.ALL, *serving.ALL], ids=lambda p: p.__name__)
 def test_same_rows_as_sql(spark, con, plan):
     df = plan(spark, SF)
-    want = con.sql(ORACLES[plan.__name__])
+    want = con.sql((ORACLES | SERVING)[plan.__name__])
     columns = sorted(df.columns)
     assert sorted(want.columns) == columns
     got_rows = sorted((tuple(rounded(r[c]) for c in columns) for r in df.collect()), key=str)
