@@ -69,7 +69,7 @@ def test_each_stage_by_hand(spark, sf):
 
     last = cp.STAGES[4][1](spark, fourth, path)
     assert {r.doc_id for r in last.collect()} == heads - bad
-    assert last.columns == [*columns, "tokens", "domain", "posterior", "rate"]
+    assert last.columns == [*columns, "tokens", "domain", "posterior", "rate", "residual"]
 
     whole = cp.run(spark, path)
     assert sorted(r.doc_id for r in whole.collect()) == sorted(heads - bad)
