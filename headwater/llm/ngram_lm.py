@@ -26,6 +26,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +43,9 @@ from .tokens import coded_words, hash_all
 
 ORDER = 2
 DISCOUNT = 0.9
-#: A block is closed beyond so many tokens; local ids then fit 21 bits.
+#: A block is closed beyond half so many tokens, and a shard is made for each so many tokens of the table at least.
 BLOCK_TOKENS = 1_500_000
-_BITS = 21
+SHARD_TOKENS = 4_000_000
 END = xxhash.xxh3_64_intdigest(b"")
 _DECADES = 8.0
 
@@ -112,7 +113,8 @@ class Block:
     """The distinct n-grams of a block, ordered by shard and then by local word numbers."""
 
     def __init__(self, words: np.ndarray, codes: np.ndarray, lengths: np.ndarray, train: np.ndarray, order: int, shards: int):
-        if len(words) >= 1 << _BITS:
+        self.bits = 63 // order  # of a local word number: 31 with pairs of words, 21 with three
+        if len(words) >= 1 << self.bits:
             raise ValueError("a block has more distinct words than local numbers")
         self.words, self.codes, self.lengths = words, codes.astype(np.uint64), lengths
         self.end = np.uint64(np.flatnonzero(words == np.uint64(END))[0])
@@ -129,19 +131,19 @@ class Block:
                 before = np.full(len(codes), self.end, np.uint64)
                 before[back:] = self.codes[:-back]
                 before[first < back] = self.end
-                key |= before << np.uint64(_BITS * back)
-            marked = np.sort((key << np.uint64(1)) | flags.astype(np.uint64)) if n * _BITS < 64 else None
+                key |= before << np.uint64(self.bits * back)
+            marked = np.sort((key << np.uint64(1)) | flags.astype(np.uint64)) if n * self.bits < 64 else None
             plain = marked >> np.uint64(1)
             heads = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
             trained = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), heads)
             grams = plain[heads]
-            place = self.shard[(grams >> np.uint64(_BITS * (n - 1))).astype(np.int64)]
+            place = self.shard[(grams >> np.uint64(self.bits * (n - 1))).astype(np.int64)]
             by_shard = np.argsort(place, kind="stable")
             self.grams[n], self.keys[n], self.counts[n] = (grams, place, by_shard), key, trained.astype(np.uint32)
 
     def columns(self, n: int, grams: np.ndarray) -> list[np.ndarray]:
-        mask = np.uint64((1 << _BITS) - 1)
-        return [((grams >> np.uint64(_BITS * k)) & mask).astype(np.int64) for k in range(n - 1, -1, -1)]
+        mask = np.uint64((1 << self.bits) - 1)
+        return [((grams >> np.uint64(self.bits * k)) & mask).astype(np.int64) for k in range(n - 1, -1, -1)]
 
 
 def _read_block(row, order: int, shards: int) -> Block:
@@ -316,8 +318,9 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     """
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
-    shards = shards or partitions(docs.sparkSession)
     blocks = cut(token_blocks(docs, id_col, text_col, train), "lm-blocks")
+    # The share of a shard stays the same however large the table is.
+    shards = shards or max(partitions(docs.sparkSession), math.ceil(blocks.count() * BLOCK_TOKENS / 2 / SHARD_TOKENS))
     answer_schema = "block long, shard int, tokens long, types long, c1 binary, " + ", ".join(f"{k}{n} binary" for n in range(2, order + 1) for k in "pb")
     sent = messages(blocks, order, shards)
     answers = cut(sent.groupBy("shard").applyInPandas(lambda frame: _shard_answers(frame, order, discount), answer_schema), "lm-answers")

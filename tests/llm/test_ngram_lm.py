@@ -87,3 +87,18 @@ def test_no_training_and_empty(spark):
     row = lm.lm_scores(docs, F.lit(False)).first()
     assert (row.train_tokens, row.n_known, row.n_tokens, row.base_score) == (0, 0, 3, 0.0)
     assert lm.lm_scores(docs.where("false"), F.lit(True)).count() == 0
+
+
+def test_block_with_very_many_words():
+    """More distinct words than 21 bits hold: the pairs still come out whole."""
+    import numpy as np
+
+    from headwater.llm import ngram_lm as lm
+
+    n = (1 << 21) + 5
+    words = np.concatenate([[np.uint64(lm.END)], np.arange(1, n, dtype=np.uint64)])
+    codes = np.concatenate([np.arange(1, n), [0]]).astype(np.uint32)
+    b = lm.Block(words, codes, np.array([n]), np.array([True]), 2, 4)
+    assert len(b.grams[2][0]) == n and int(b.counts[2].sum()) == n
+    first, second = b.columns(2, b.grams[2][0])
+    assert {(int(x), int(y)) for x, y in zip(first[-3:], second[-3:])} <= {(k, k + 1) for k in range(n)} | {(n - 1, 0)}
