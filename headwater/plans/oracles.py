@@ -87,6 +87,36 @@ scored AS (
     (count(DISTINCT source) * 12 + sum(CASE WHEN epoch({_ANCHOR}) - epoch(date) < 43200 THEN 16 WHEN epoch({_ANCHOR}) - epoch(date) < 86400 THEN 13 ELSE 10 END)) AS tenths,
     list(id ORDER BY date DESC, id) AS ids
   FROM hits h JOIN dominant d ON h.term = d.term GROUP BY h.term HAVING count(DISTINCT id) >= 2 AND count(DISTINCT source) >= 2)"""
+_AGE = f"(epoch({_ANCHOR}) - epoch(date))"
+#: Runs as islands between words that cannot name anything; one row for a word, in the order of the title.
+_MINED = rf"""
+{_TOKENS}, {_WATCH},
+tc AS (SELECT source FROM toks WHERE i > 0 AND length(w) > 3 AND regexp_matches(w, '^\p{{L}}') AND lower(w) NOT IN ('the','is','it','der','la')
+  GROUP BY source HAVING count(*) >= 12 AND count(*) FILTER (regexp_matches(w, '^\p{{Lu}}')) / count(*) > 0.6),
+span AS (SELECT CASE WHEN count(*) FILTER ({_AGE} <= 48 * 3600) >= 60 THEN 48 WHEN count(*) FILTER ({_AGE} <= 96 * 3600) >= 60 THEN 96 ELSE 1e15 END AS hours FROM heads),
+pool AS (SELECT heads.*, source IN (FROM tc) AS shouts FROM heads, span WHERE {_AGE} <= hours * 3600),
+own AS (SELECT t.doc_id, t.i, t.w, t.stop, p.shouts, regexp_matches(w, '^.+\p{{Lu}}') AS odd, regexp_matches(w, '^\p{{Lu}}') AS cap, length(w) >= 2 AND lower(w) NOT IN ('the','is','it','der','la') AS plain FROM toks t JOIN pool p USING (doc_id)),
+known AS (SELECT DISTINCT w FROM own WHERE NOT shouts AND i > 0 AND plain AND (odd OR cap)),
+fit AS (SELECT *, coalesce(plain AND (odd OR cap) AND regexp_matches(w, '^\p{{L}}[\p{{L}}\p{{N}}.+&''’-]*$') AND regexp_matches(w, '\p{{L}}.*\p{{L}}') AND (i > 0 OR odd OR w IN (FROM known)), false) AS usable FROM own),
+cuts AS (SELECT *, (NOT usable)::INT + coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY i)::INT, 0) AS cut FROM fit),
+isle AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM cuts),
+runs AS (SELECT doc_id, run, any_value(shouts) AS shouts, (list(w ORDER BY i))[1:3] AS ws, (list(odd ORDER BY i))[1:3] AS odds FROM isle WHERE usable GROUP BY doc_id, run),
+entries AS (
+  SELECT doc_id, array_to_string(ws, ' ') AS term, 0 AS kind, run, 0 AS j FROM runs WHERE NOT shouts OR NOT list_contains(odds, false)
+  UNION ALL SELECT doc_id, ws[j], 1, run, j FROM runs, range(1, 4) r(j) WHERE len(ws) > 1 AND j <= len(ws)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, run, j) - 1 AS k FROM entries),
+found AS (SELECT * FROM numbered n WHERE (kind = 0 OR regexp_matches(term, '^.+\p{{Lu}}') OR term IN (FROM known)) AND lower(term) NOT IN ('the','is','it','der','la')
+  AND NOT regexp_matches(term, '{_BLOCK}') AND NOT EXISTS (SELECT 1 FROM terms t WHERE regexp_matches(n.term, t.pattern))),
+order_of AS (SELECT term, list_position(['the', 'licence', 'is', 'der', 'que', 'was', 'for', 'with'], term) AS k FROM terms),
+met AS (SELECT p.doc_id, t.term, true AS watched, o.k FROM pool p JOIN terms t ON regexp_matches(p.title, t.pattern) JOIN order_of o ON o.term = t.term
+  UNION ALL SELECT doc_id, term, false, k FROM found),
+once AS (SELECT doc_id, term, bool_or(watched) AS watched, min(k) AS k FROM met GROUP BY ALL),
+hit AS (SELECT o.*, p.id, p.source, p."column", p.date FROM once o JOIN pool p USING (doc_id)),
+lead AS (SELECT term, "column" FROM (SELECT term, "column", row_number() OVER (PARTITION BY term ORDER BY count(*) DESC, coalesce(list_position(['en','fr','de','es'], "column"), 99)) AS r FROM hit GROUP BY term, "column") WHERE r = 1),
+mined AS (
+  SELECT h.term, count(*) AS count, count(DISTINCT source) AS sources, any_value(l."column") AS "column", list(id) AS ids, min((doc_id, NOT watched, k)) AS place,
+    count(DISTINCT source) * 12 + sum(CASE WHEN {_AGE} < 43200 THEN 16 WHEN {_AGE} < 86400 THEN 13 ELSE 10 END) AS tenths
+  FROM hit h JOIN lead l ON h.term = l.term GROUP BY h.term HAVING count(*) >= CASE WHEN bool_or(watched) THEN 2 ELSE 3 END AND count(DISTINCT source) >= 2)"""
 _SUBS = """
 subs AS (
   SELECT c_custkey,
@@ -138,7 +168,7 @@ SELECT r.doc_id, r.url, r.norm FROM r JOIN walk w ON w.kept = r.doc_id""",
 b AS (SELECT "column", doc_id, row_number() OVER (PARTITION BY "column" ORDER BY date DESC, doc_id) AS rank FROM a WHERE r1 <= 7) SELECT "column", rank, doc_id FROM b WHERE rank <= 36""",
     "mode_tiebreak": """WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT user_id, event_type AS mode FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, list_position(['purchase','signup','click','view','error'], event_type)) = 1""",
-    "title_case_sources": rf"""WITH {_H}, {_TOKENS}, f AS (SELECT source, regexp_matches(w, '^\p{{Lu}}') AS cap FROM toks WHERE i > 0 AND length(w) > 3 AND regexp_matches(w, '^\p{{L}}'))
+    "title_case_sources": rf"""WITH {_H}, {_TOKENS}, f AS (SELECT source, regexp_matches(w, '^\p{{Lu}}') AS cap FROM toks WHERE i > 0 AND length(w) > 3 AND regexp_matches(w, '^\p{{L}}') AND lower(w) NOT IN ('the','is','it','der','la'))
 SELECT source, count(*) AS words, count(*) FILTER (cap) AS caps, count(*) >= 12 AND count(*) FILTER (cap) / count(*) > 0.6 AS title_case FROM f GROUP BY source""",
     "proper_nouns": rf"""WITH {_H}, {_TOKENS},
 d AS (SELECT *, regexp_matches(w, '^.+\p{{Lu}}') AS odd FROM toks),
@@ -150,6 +180,15 @@ SELECT DISTINCT doc_id, array_to_string((list(w ORDER BY i))[1:3], ' ') AS term
     "trend_scores": f"""WITH {_H}, {_WATCH}, {_SCORED} SELECT term, count, sources, "column", tenths / 10.0::DOUBLE AS score, array_to_string(ids, ',') AS ids FROM scored""",
     "trend_suppressed": f"""WITH RECURSIVE {_H}, {_WATCH}, {_SCORED},
 o AS (SELECT term, ids, tenths, row_number() OVER (ORDER BY tenths DESC, sources DESC, term) AS i FROM scored),
+walk AS (
+  SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept, NULL::VARCHAR AS term, NULL::HUGEINT AS tenths
+  UNION ALL
+  SELECT x.i, CASE WHEN ok THEN list_append(kept, x.term) ELSE kept END, CASE WHEN ok THEN x.term END, x.tenths::HUGEINT
+  FROM (SELECT o.*, w.kept, len(w.kept) < 12 AND NOT EXISTS (SELECT 1 FROM o p WHERE list_contains(w.kept, p.term) AND len(list_intersect(p.ids, o.ids)) / least(len(p.ids), len(o.ids)) >= 0.8) AS ok FROM walk w JOIN o ON o.i = w.i + 1) x)
+SELECT row_number() OVER (ORDER BY i) AS rank, term, (tenths / 10.0)::DOUBLE AS score FROM walk WHERE term IS NOT NULL""",
+    "trend_mined": f"""WITH {_H}, {_MINED} SELECT term, count, sources, "column", tenths / 10.0::DOUBLE AS score FROM mined""",
+    "trend_top": f"""WITH RECURSIVE {_H}, {_MINED},
+o AS (SELECT term, ids, tenths, row_number() OVER (ORDER BY tenths DESC, sources DESC, place) AS i FROM mined),
 walk AS (
   SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept, NULL::VARCHAR AS term, NULL::HUGEINT AS tenths
   UNION ALL

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from headwater.functions import text as X
 from headwater.operators import curate, enrich, state, trends
 from headwater.sources import feeds
-from headwater.sources.tables import table
+from headwater.sources.tables import cut, table
 
 LEXICON = {"en": ["the", "of", "and", "in", "that"], "fr": ["le", "de", "la", "les", "que"]}
 
@@ -115,9 +115,12 @@ def term_match_theta(spark, d):
     return trends.watch_hits(heads(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def recent_hits(spark, d):
+    return trends.watch_hits(heads(spark, d).where(F.col("date") >= anchor() - F.expr("interval 96 hours")))
+
+
 def scored(spark, d):
-    hits = trends.watch_hits(heads(spark, d).where(F.col("date") >= anchor() - F.expr("interval 96 hours")))
-    return trends.trend_scores(hits, anchor())
+    return trends.trend_scores(recent_hits(spark, d), anchor())
 
 
 def trend_scores(spark, d):
@@ -125,7 +128,23 @@ def trend_scores(spark, d):
 
 
 def trend_suppressed(spark, d):
-    return trends.suppress_redundant(scored(spark, d))
+    return trends.suppress_redundant(scored(spark, d), recent_hits(spark, d).select("term", "id").distinct())
+
+
+def mined_hits(spark, d):
+    h = heads(spark, d)
+    return trends.all_hits(trends.lookback(h, anchor()), h, block=curate.Rules().block)
+
+
+def trend_mined(spark, d):
+    """Watched and mined terms, scored."""
+    return trends.score_terms(mined_hits(spark, d), anchor()).drop("place")
+
+
+def trend_top(spark, d):
+    """The twelve terms of a snapshot: mined and watched, by score, sources and where they were first met."""
+    hits = cut(mined_hits(spark, d), "term-hits")
+    return trends.suppress_redundant(trends.score_terms(hits, anchor()), hits, "place")
 
 
 def item_heat(spark, d):
@@ -155,7 +174,7 @@ def iso_week_rollup(spark, d):
 
 
 def schedule_flags(spark, d):
-    local = F.col("ts") - F.expr("interval 3 hours")
+    local = F.from_utc_timestamp("ts", "America/Sao_Paulo")
     day, minute = F.extract(F.lit("DAYOFWEEK_ISO"), local), F.hour(local) * 60 + F.minute(local)
     after = lambda m: (day > 5) | ((day == 5) & (minute >= m))
     return table(spark, d, "events").groupBy(after(405).alias("draft_due"), after(540).alias("send_due")).agg(F.count(F.lit(1)).alias("n"))
@@ -345,4 +364,4 @@ def stream_rate_limit(spark, d):
     return found.select("user_id", F.unix_timestamp("start").alias("start"), "n")
 
 
-ALL = [url_clean, url_parts_decode, html_strip_text, html_title_entities, html_links_array, title_normalize, slug_hash, truncate_words, headline_projection, route_first_match, filter_reasons, sponsored_refilter, dedup_greedy_dual_key, topk_two_level, mode_tiebreak, title_case_sources, proper_nouns, term_match_theta, trend_scores, trend_suppressed, item_heat, news_upsert_max, retention, weekly_candidates, iso_week_rollup, schedule_flags, subscriber_validate, phone_e164, subscriber_upsert, sync_stats, status_case, csv_guard, html_escape, cache_lookup, cache_gc, negative_cache, lexicon_language_check, batched_inference, model_output_guard, weekly_edition, semi_live_columns, anti_pending, json_props, json_coalesce, rate_limit_tumbling, ua_gate, edition_state_machine, date_parse_lenient, run_report, feed_parse, stream_upsert, stream_rate_limit]
+ALL = [url_clean, url_parts_decode, html_strip_text, html_title_entities, html_links_array, title_normalize, slug_hash, truncate_words, headline_projection, route_first_match, filter_reasons, sponsored_refilter, dedup_greedy_dual_key, topk_two_level, mode_tiebreak, title_case_sources, proper_nouns, term_match_theta, trend_scores, trend_suppressed, trend_mined, trend_top, item_heat, news_upsert_max, retention, weekly_candidates, iso_week_rollup, schedule_flags, subscriber_validate, phone_e164, subscriber_upsert, sync_stats, status_case, csv_guard, html_escape, cache_lookup, cache_gc, negative_cache, lexicon_language_check, batched_inference, model_output_guard, weekly_edition, semi_live_columns, anti_pending, json_props, json_coalesce, rate_limit_tumbling, ua_gate, edition_state_machine, date_parse_lenient, run_report, feed_parse, stream_upsert, stream_rate_limit]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.functions import text as X
-from headwater.operators import curate
+from headwater.operators import curate, trends
 from headwater.sources.tables import table
 
 NOW = "2024-01-31 00:00:00"
@@ -134,12 +134,8 @@ def version_probe(spark, d):
 
 
 def trend_lookback(spark, d):
-    """48 hours, else 96, else all, whichever first has sixty rows; one aggregation decides."""
     h = curate.headlines(table(spark, d, "documents")).select("doc_id", "date")
-    age = (F.unix_timestamp(F.lit(curate.ANCHOR).cast("timestamp")) - F.unix_timestamp("date")) / 3600
-    n = h.agg(F.count_if(age <= 48).alias("short"), F.count_if(age <= 96).alias("long"))
-    hours = F.when(F.col("short") >= 60, 48.0).when(F.col("long") >= 60, 96.0).otherwise(float("inf"))
-    return h.crossJoin(F.broadcast(n.select(hours.alias("hours")))).where(age <= F.col("hours")).select("doc_id")  # one row
+    return trends.lookback(h, F.lit(curate.ANCHOR).cast("timestamp")).select("doc_id")
 
 
 def inference_metrics(spark, d):
