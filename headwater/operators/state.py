@@ -94,3 +94,23 @@ def weekly_edition(candidates: DataFrame, picks: DataFrame, least: int = 3, most
         return good.select("item_id", "pos")
     order = Window.orderBy(F.desc("heat"), F.asc("item_id"))
     return candidates.orderBy(F.desc("heat"), F.asc("item_id")).limit(most).withColumn("pos", F.row_number().over(order)).select("item_id", "pos")
+
+
+def upsert_drafts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, status, content, affected): new content replaces that of a draft and adds unknown keys as drafts;
+    editions in any other status stay as they are. affected is 1 where the write took effect.
+
+    old: (key, status, content), new: (key, content), one row for a key each.
+    """
+    both = old.join(new.withColumnRenamed("content", "_new").withColumn("_there", F.lit(True)), key, "full")
+    takes = F.col("_there").isNotNull() & (F.coalesce("status", F.lit("draft")) == "draft")
+    return both.select(key, F.coalesce("status", F.lit("draft")).alias("status"), F.when(takes, F.col("_new")).otherwise(F.col("content")).alias("content"), takes.cast("long").alias("affected"))
+
+
+def catch_up(times: DataFrame, column: str, minute: int, zone: str = "America/Sao_Paulo") -> DataFrame:
+    """(week, at): the first time in each ISO week at which the weekly task is due (Friday from ``minute`` on, or any
+    time of the weekend, which makes up for a missed Friday); once a week."""
+    local = F.from_utc_timestamp(column, zone)
+    day, at = F.extract(F.lit("DAYOFWEEK_ISO"), local), F.hour(local) * 60 + F.minute(local)
+    due = times.where((day > 5) | ((day == 5) & (at >= minute)))
+    return due.groupBy(X.iso_week(local).alias("week")).agg(F.min(column).alias("at"))

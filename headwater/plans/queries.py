@@ -132,7 +132,8 @@ def trend_suppressed(spark, d):
 
 
 def mined_hits(spark, d):
-    h = heads(spark, d)
+    """The titles are written once: the steps read them several times, the texts should be read but once."""
+    h = cut(heads(spark, d).select("doc_id", "id", "column", "source", "title", "date"), "titles")
     return trends.all_hits(trends.lookback(h, anchor()), h, block=curate.Rules().block)
 
 

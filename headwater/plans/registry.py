@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from headwater.plans import queries as plans
-from headwater.plans import serving
+from headwater.plans import newsroom, serving
+from headwater.plans.newsroom_oracles import NEWSROOM
 from headwater.plans.oracles import ORACLES
 from headwater.plans.serving_oracles import SERVING
 
@@ -17,8 +18,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in [*plans.ALL, *serving.ALL]}
+    return {f.__name__: f for f in [*plans.ALL, *serving.ALL, *newsroom.ALL]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | SERVING
+    return ORACLES | SERVING | NEWSROOM

@@ -17,12 +17,32 @@ def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_name").alias("name"), body.alias("xml"), F.when(F.length("content") == 0, "empty").alias("error"))
 
 
+#: The characters of windows-1252 at the places of control characters, by rule from Python's codec.
+_C1 = [(chr(i), bytes([i]).decode("cp1252")) for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+
+
 def decode_body(content: Column, content_type: Column) -> Column:
-    """Charset of the header, else of the XML declaration, else UTF-8; unknown labels fall back to UTF-8."""
+    """Charset of the header, else of the XML declaration, else UTF-8; unknown labels fall back to UTF-8. Labels of
+    Latin-1 mean windows-1252, as on the web."""
     head = F.decode(F.substring(content, 1, 200), "ISO-8859-1")
     label = F.upper(F.coalesce(F.nullif(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset=\"?([\w-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(head, r"(?i)<\?xml[^>]*encoding=[\"']([\w-]+)", 1), F.lit("")), F.lit("UTF-8")))
-    utf8 = F.decode(content, "UTF-8")
-    return F.when(label.isin("ISO-8859-1", "LATIN1", "WINDOWS-1252"), F.decode(content, "ISO-8859-1")).when(label == "UTF-16", F.decode(content, "UTF-16")).otherwise(utf8)
+    latin = F.translate(F.decode(content, "ISO-8859-1"), "".join(a for a, _ in _C1), "".join(b for _, b in _C1))
+    wide = [F.when(label == name, F.decode(content, name)) for name in ("UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32")]
+    return F.coalesce(F.when(label.isin("ISO-8859-1", "LATIN1", "LATIN-1", "WINDOWS-1252", "CP1252", "US-ASCII", "ASCII"), latin), *wide, F.decode(content, "UTF-8"))
+
+
+def feed_status(expected: DataFrame, read: DataFrame) -> DataFrame:
+    """(name, entries, error): a row for each expected feed, whatever became of it.
+
+    expected: name; read: (name, xml). A feed without a file is "missing", a blank one "empty", one without any entry
+    that has a title and a url "no entries". No feed's fault touches another.
+    """
+    got = expected.select("name").join(read.select("name", "xml", F.lit(True).alias("there")), "name", "left")
+    counts = parse_feed(got.select("name", "xml")).groupBy("name").agg(F.count(F.lit(1)).alias("entries"))
+    seen = got.select("name", "there", (F.trim(F.coalesce("xml", F.lit(""))) == "").alias("blank")).join(counts, "name", "left")
+    entries = F.coalesce("entries", F.lit(0).cast("long"))
+    why = F.when(F.col("there").isNull(), "missing").when(F.col("blank"), "empty").when(entries == 0, "no entries")
+    return seen.select("name", entries.alias("entries"), why.alias("error"))
 
 
 def parse_feed(df: DataFrame, xml_col: str = "xml") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,3 +52,23 @@ def swap_in(spark: SparkSession, aside: str, path: str) -> None:
         raise OSError(f"cannot move the new table to {path}")
     if had:
         fs.delete(spare, True)
+
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A cache of JSON lines; an absent one is empty, and so are its broken lines."""
+    if not children(spark, path):
+        return spark.createDataFrame([], schema)
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.coalesce(*names).isNotNull() if len(names) == 1 else F.col(names[0]).isNotNull())
+
+
+def export_lines(rows: DataFrame, line: Column, header: str, path: str) -> None:
+    """Text files with CRLF; the header, after a byte order mark, is a file that sorts before all others."""
+    spark = rows.sparkSession
+    rows.select(line.alias("value")).write.option("lineSep", "\r\n").text(path)
+    fs, place = file_system(spark, f"{path}/part-00000-0-header.csv")
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(f"\ufeff{header}\r\n".encode()))
+    finally:
+        out.close()

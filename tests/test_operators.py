@@ -142,3 +142,49 @@ def test_edition_falls_back_to_the_hottest(spark):
     few = spark.createDataFrame([(1, 5), (99, 1), (1, 2)], "item_id int, pos int")
     assert [r.item_id for r in state.weekly_edition(c, few).orderBy("pos").collect()] == list(range(11, 3, -1))
     assert state.weekly_edition(c.limit(2), few).count() == 0
+
+
+def test_names_in_titles(spark):
+    """Runs, known words, first words and sources that write all words with capitals."""
+    rows = [(1, "a", "The new OpenAI Labs meet Ana Lima: Rio"), (2, "b", "Lima wins again"), (3, "c", "Big Day For YouTube And Red"), (4, "d", "")]
+    items = spark.createDataFrame(rows, "doc_id long, source string, title string")
+    shout = spark.createDataFrame([("c", True), ("a", False)], "source string, title_case boolean")
+    got = {}
+    for r in trends.mined_terms(items, shout).collect():
+        got.setdefault(r.doc_id, set()).add(r.term)
+    assert got == {1: {"OpenAI Labs", "OpenAI", "Labs", "Ana Lima", "Ana", "Lima", "Rio"}, 2: {"Lima"}, 3: {"YouTube"}}
+    assert trends.mined_terms(items.limit(0), shout).count() == 0
+
+
+def test_suppression_reads_in_chunks(spark):
+    """Kept terms are the same whatever the chunk."""
+    rng = random.Random(5)
+    sets = {f"t{i:02}": frozenset(rng.sample(range(12), rng.randint(2, 5))) for i in range(40)}
+    scored = spark.createDataFrame([(t, len(s), 2, float(len(s))) for t, s in sets.items()], "term string, count long, sources long, score double")
+    hits = spark.createDataFrame([(t, str(i)) for t, s in sets.items() for i in s], "term string, id string")
+    kept = []
+    for t in sorted(sets, key=lambda t: (-len(sets[t]), t)):
+        if len(kept) < 6 and all(len(sets[t] & sets[k]) / min(len(sets[t]), len(sets[k])) < 0.8 for k in kept):
+            kept.append(t)
+    for chunk in (3, 100):
+        assert [r.term for r in trends.suppress_redundant(scored, hits, limit=6, chunk=chunk).orderBy("rank").collect()] == kept
+
+
+def test_restored_case(spark):
+    mend = lambda a, b: one(spark, enrich.restore_case(F.lit(a), F.lit(b), frozenset(["meta"])))
+    assert mend("TikTok and Meta sue Altman", "tiktok e meta processam altman") == "TikTok e meta processam Altman"
+    assert mend("iOS is out", "ios chegou") == "iOS chegou"
+    assert mend("", "x") == "x" and mend("A", "") == ""
+
+
+def test_caches_and_exports(spark, tmp_path):
+    from headwater.sources import tables
+
+    assert tables.read_cache(spark, f"{tmp_path}/none", "k string, v string").count() == 0
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.json").write_text('{"k": "1", "v": "x"}\n{oops\n')
+    assert [tuple(r) for r in tables.read_cache(spark, f"{tmp_path}/c", "k string, v string").collect()] == [("1", "x")]
+    rows = spark.createDataFrame([("=1", 'a"b')], "a string, b string")
+    tables.export_lines(rows, X.csv_line(F.col("a"), F.col("b")), "a;b", f"{tmp_path}/e")
+    text = b"".join(p.read_bytes() for p in sorted((tmp_path / "e").glob("part-*"))).decode()
+    assert text == "\ufeffa;b\r\n'=1;\"a\"\"b\"\r\n"
