@@ -65,14 +65,15 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("order,shards", [(2, 3), (3, 5)])
-def test_against_brute_force(spark, order, shards):
-    rows = corpus()
+@pytest.mark.parametrize("order,shards,hot_share,empties", [(2, 3, lm.HOT_SHARE, True), (2, 4, 0.05, True), (2, 3, 3.0, True), (3, 5, 0.05, True), (3, 5, 3.0, False), (3, 5, 0.05, False)])
+def test_against_brute_force(spark, order, shards, hot_share, empties):
+    """Whether all, some or no words are split among the shards; with and without texts that are their end alone."""
+    rows = [r for r in corpus() if empties or r[1]]
     docs = spark.createDataFrame([(d, t, "z") for d, t in rows], "doc_id long, text string, block string")
     import zlib
 
     held = [zlib.crc32(str("" if d is None else d).encode()) % 5 == 1 for d, _ in rows]
-    got = lm.lm_scores(docs.repartition(3), fold_bucket(F.col("doc_id"), 5) != 1, order=order, shards=shards).collect()
+    got = lm.lm_scores(docs.repartition(3), fold_bucket(F.col("doc_id"), 5) != 1, order=order, shards=shards, hot_share=hot_share).collect()
     key = lambda r: (str(r[0]), r[1], r[2], round(r[4], 6))
     got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
     want = sorted(((d, *b) for (d, _), b in zip(rows, brute(rows, held, order, lm.DISCOUNT))), key=key)
@@ -98,7 +99,18 @@ def test_block_with_very_many_words():
     n = (1 << 21) + 5
     words = np.concatenate([[np.uint64(lm.END)], np.arange(1, n, dtype=np.uint64)])
     codes = np.concatenate([np.arange(1, n), [0]]).astype(np.uint32)
-    b = lm.Block(words, codes, np.array([n]), np.array([True]), 2, 4)
+    b = lm.Block(words, codes, np.array([n]), np.array([True]), 2, 4, np.zeros(0, np.uint64))
     assert len(b.grams[2][0]) == n and int(b.counts[2].sum()) == n
     first, second = b.columns(2, b.grams[2][0])
     assert {(int(x), int(y)) for x, y in zip(first[-3:], second[-3:])} <= {(k, k + 1) for k in range(n)} | {(n - 1, 0)}
+
+
+def test_frequent_words_are_split(spark):
+    """The pairs of a word that is a third of all tokens reach every shard, and its count is exact."""
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(f"hot w{rng.randint(0, 400)} v{rng.randint(0, 400)}" for _ in range(40))) for i in range(60)], "doc_id long, text string")
+    blocks = lm.token_blocks(docs.repartition(3), "doc_id", "text", F.col("doc_id") % 2 == 0)
+    hot, counts = lm.frequent_words(blocks, 0.1)
+    assert len(hot) == 1 and counts.tolist() == [60 * 40 // 2]
+    sizes = {r.shard: r.n for r in lm.messages(blocks, 2, 4, hot).groupBy("shard").agg(F.sum(F.length("c2")).alias("n")).collect()}
+    assert len(sizes) == 4 and max(sizes.values()) < 2 * min(sizes.values())
