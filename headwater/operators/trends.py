@@ -11,6 +11,8 @@ from headwater.sources.tables import cut
 #: Our own watch terms (name, pattern), tuned to the test tables.
 WATCH = [("the", r"(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])"), ("licence", "(?i)licen[sc]e"), ("is", r"(?<![A-Za-z0-9_])is(?![A-Za-z0-9_])"), ("der", r"(?<![A-Za-z0-9_])der(?![A-Za-z0-9_])"), ("que", r"(?<![A-Za-z0-9_])que(?![A-Za-z0-9_])"), ("was", r"(?<![A-Za-z0-9_])was(?![A-Za-z0-9_])"), ("for", r"(?<![A-Za-z0-9_])for(?![A-Za-z0-9_])"), ("with", r"(?<![A-Za-z0-9_])with(?![A-Za-z0-9_])")]
 COLUMNS = ["en", "fr", "de", "es"]
+#: Fixed value, as the same names must be found: a letter, then letters, digits and the signs that names hold.
+NAME_SHAPE = r"^\p{L}[\p{L}\p{N}.+&'’-]*$"
 #: Our own words that never name anything.
 STOP = ["the", "is", "it", "der", "la"]
 
@@ -100,7 +102,7 @@ def mined_terms(items: DataFrame, title_case: DataFrame, stop: list[str] = STOP)
 
     def mark(t: Column, i: Column) -> Column:
         w = t["w"]
-        shaped = w.rlike(r"^\p{L}[\p{L}\p{N}.+&'’-]*$") & w.rlike(r"\p{L}.*\p{L}")
+        shaped = w.rlike(NAME_SHAPE) & w.rlike(r"\p{L}.*\p{L}")
         usable = shaped & capital(w) & plain(w) & ((i > 0) | X.is_distinctive(w) | F.coalesce("_known", F.lit(False)))
         return F.when(~usable, "\n").otherwise(F.concat(w, F.when(t["stop"], "\n").otherwise("")))
 
