@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, license_scan, line_dedup, mixing, ngram_lm, quality, secret_scan, simhash, toxicity
+from . import ann, decontamination, filter_audit, importance, license_scan, line_dedup, mixing, ngram_lm, quality, secret_scan, simhash, toxicity
 from .common import fold_bucket
 
 
@@ -98,9 +98,17 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_elias_fano, op2_line_dedup, op3_quality_pu, op4_domain_mixing, op5_toxicity_ftrl, op6_license_scan, op7_benchmark_decontamination, op8_secret_scan, op9_ivfpq_search, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_lm_elias_fano, op2_line_dedup, op3_quality_pu, op4_domain_mixing, op5_toxicity_ftrl, op6_license_scan, op7_benchmark_decontamination, op8_secret_scan, op9_ivfpq_search, op10_simhash_near_dedup, op11_filter_interaction_audit, op12_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op11_filter_interaction_audit": filter_audit.SQL, "op12_importance_resampling": importance.SQL}
