@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, filter_audit, importance, license_scan, line_dedup, mixing, ngram_lm, quality, secret_scan, simhash, toxicity
+from . import ann, decontamination, filter_audit, importance, license_scan, line_dedup, mixing, ngram_lm, odd_sketch, quality, secret_scan, simhash, toxicity
 from .common import fold_bucket
 
 
@@ -106,8 +106,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_elias_fano, op2_line_dedup, op3_quality_pu, op4_domain_mixing, op5_toxicity_ftrl, op6_license_scan, op7_benchmark_decontamination, op8_secret_scan, op9_ivfpq_search, op10_simhash_near_dedup, op11_filter_interaction_audit, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_lm_elias_fano, op2_line_dedup, op3_quality_pu, op4_domain_mixing, op5_toxicity_ftrl, op6_license_scan, op7_benchmark_decontamination, op8_secret_scan, op9_ivfpq_search, op10_simhash_near_dedup, op11_filter_interaction_audit, op12_importance_resampling, op13_odd_sketch_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
