@@ -42,10 +42,13 @@ def words(text: Column) -> Column:
 
 def runs(tokens: Column, least: int = 1, most: int = 1) -> Column:
     """All runs of ``least`` to ``most`` words, joined by one space."""
-    found = []
-    for n in range(least, most + 1):
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        found.append(tokens if n == 1 else F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+        # Not slice(), which copies the whole array each time.
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
+
+    found = [tokens if n == 1 else of(n) for n in range(least, most + 1)]
     return found[0] if len(found) == 1 else F.concat(*found)
 
 
@@ -79,7 +82,8 @@ def noise(doc_id: Column, seed: str = SEED) -> Column:
 def scored(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1, most: int = 1, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
     """(doc_id, n_words, n_features, weight, score) for each row; ``table`` is that of ``gains``."""
     tokens = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("tokens"))
-    listed = tokens.select("row", "doc_id", F.size("tokens").alias("n_words"), F.explode_outer(runs(F.col("tokens"), least, most)).alias("run"))
+    counted = tokens.withColumn("n_words", F.size("tokens"))  # before the runs are exploded, so that no run carries the words
+    listed = counted.select("row", "doc_id", "n_words", F.explode_outer(runs(F.col("tokens"), least, most)).alias("run"))
     met = listed.select("row", "doc_id", "n_words", bucket(F.col("run"), buckets).alias("bucket")).join(F.broadcast(table), "bucket", "left")
     sums = met.groupBy("row", "doc_id", "n_words").agg(F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("gain"))
     weight = F.when(F.col("n_features") == 0, F.lit(0)).otherwise(F.expr("(gain - pmod(gain, n_features)) div n_features")).cast("long")
