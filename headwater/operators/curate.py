@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.functions import text as X
-from headwater.sources.tables import cut, file_system, swap_in
+from headwater.operators.first_wins import first_wins
+from headwater.sources.tables import file_system, swap_in
 
 #: Dates in the stand-in tables count back from here.
 ANCHOR = "2024-02-01 00:00:00"
@@ -68,18 +69,9 @@ def route(h: DataFrame, rules: Rules = Rules()) -> Column:
 def dedup_first_wins(rows: DataFrame, order: str, keys: tuple[str, str]) -> DataFrame:
     """Keeps a row iff neither key was seen on a row kept before it, in the given unique order.
 
-    Rounds: rows that are first under both keys among the undecided are kept, rows that share a key with them
-    go; every round decides at least the first row of each group, and a few rounds settle real tables. Only
-    kept rows block others, which dropping duplicates key by key would get wrong.
+    Only kept rows block others, which dropping duplicates key by key would get wrong. See ``first_wins``.
     """
-    a, b = keys
-    left = cut(rows.select(F.col(order).alias("o"), F.col(a).alias("a"), F.col(b).alias("b")), "dedup")
-    kept = None
-    while not left.isEmpty():
-        first = lambda k: left.groupBy(k).agg(F.min("o").alias(f"m{k}"))
-        now = cut(left.join(first("a"), "a").join(first("b"), "b").where("o = ma and o = mb").select("o", "a", "b"), "dedup-kept")
-        kept = now if kept is None else kept.unionByName(now)
-        left = cut(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti").select("o", "a", "b"), "dedup")
+    kept, _ = first_wins(rows, order, keys)
     if kept is None:
         return rows
     return rows.join(kept.select(F.col("o").alias(order)), order, "left_semi")

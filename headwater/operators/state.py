@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from headwater.functions import text as X
 
+#: Differs from every key, null included.
+_NO_KEY = "\0no key"
+
 
 def upsert_news(log: DataFrame) -> DataFrame:
     """State after a log (id, seq, ts, title, image, url, heat): the last title, the last image that is not
@@ -63,19 +71,73 @@ def subscriber_errors(name: Column, email: Column, phone: Column, consent: Colum
 TRANSITIONS = {("draft", "send"): "sending", ("sending", "done"): "sent", ("sending", "fail"): "draft", ("sending", "later"): "scheduled"}
 
 
-def edition_status(events: DataFrame) -> DataFrame:
-    """(edition, status, changes): a fold of each edition's events; an event counts only in its state."""
-    listed = events.groupBy("edition").agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("all"))
+def fold_machine(events: DataFrame, transitions: dict[tuple[str, str], str], start: str) -> DataFrame:
+    """(key, status, changes): the end of each key's walk through its events (key, seq, event) by seq.
 
-    def step(acc: Column, e: Column) -> Column:
-        out = acc
-        for (state, event), to in TRANSITIONS.items():
-            out = F.when((acc["status"] == state) & (e["event"] == event), F.struct(F.lit(to).alias("status"), (acc["changes"] + 1).alias("changes"))).otherwise(out)
-        return out
+    A run of events is a function from the state before it to the state after it and the number of changes between;
+    functions of runs that follow each other compose, whatever came before them. So events are dealt out by ranges of (key, seq),
+    each task folds its part of a key into one function of a few numbers, and a key's functions, one for each range
+    that holds some of it, are composed in order. A key with most of the events is spread over many tasks.
 
-    start = F.struct(F.lit("draft").alias("status"), F.lit(0).cast("long").alias("changes"))
-    end = F.aggregate("all", start, step)
-    return listed.select("edition", end["status"].alias("status"), end["changes"].alias("changes"))
+    An event without a transition from the state changes nothing, and so does a null one; a null seq comes first;
+    equal seqs are ordered by event; a null key is a key.
+    """
+    states = sorted({start, *(s for s, _ in transitions), *transitions.values()})
+    at = {s: i for i, s in enumerate(states)}
+    same = tuple(range(len(states)))
+    #: For each event that ever does something where it leads from each state.
+    moves = {event: tuple(at[transitions.get((s, event), s)] for s in states) for _, event in transitions}
+    taken = {event: tuple(int((s, event) in transitions) for s in states) for event in moves}
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, to, count = _NO_KEY, None, list(same), [0] * len(same)
+        done: list[tuple] = []
+        for batch in batches:
+            for k, seq, event in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != key:
+                    if key is not _NO_KEY:
+                        done.append((key, *first, to, count))
+                    key, first, to, count = k, (seq, event), list(same), [0] * len(same)
+                if event in moves:
+                    step, took = moves[event], taken[event]
+                    for s, now in enumerate(to):
+                        count[s] += took[now]
+                        to[s] = step[now]
+            if len(done) > 1000:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done], arrow)
+                done = []
+        if key is not _NO_KEY:
+            done.append((key, *first, to, count))
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done], arrow)
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, changes = _NO_KEY, at[start], 0
+        for batch in batches:
+            done = []
+            for k, to, count in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                if k != key:
+                    if key is not _NO_KEY:
+                        done.append((key, states[state], changes))
+                    key, state, changes = k, at[start], 0
+                state, changes = to[state], changes + count[state]
+            yield pa.RecordBatch.from_pylist([dict(zip(ends, r, strict=True)) for r in done], arrow_end)
+        if key is not _NO_KEY:
+            yield pa.RecordBatch.from_pylist([dict(zip(ends, (key, states[state], changes), strict=True))], arrow_end)
+
+    names, ends = ("key", "seq", "event", "to", "count"), ("key", "status", "changes")
+    narrow = events.select("key", "seq", F.col("event").cast("string").alias("event"))
+    kind = narrow.schema["key"].dataType
+    folded = T.StructType([*narrow.schema, T.StructField("to", T.ArrayType(T.IntegerType())), T.StructField("count", T.ArrayType(T.LongType()))])
+    told = T.StructType([T.StructField("key", kind), T.StructField("status", T.StringType()), T.StructField("changes", T.LongType())])
+    arrow, arrow_end = to_arrow_schema(folded), to_arrow_schema(told)
+    order = ["key", "seq", "event"]
+    some = narrow.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(runs, folded)
+    return some.repartition("key").sortWithinPartitions(*order).mapInArrow(compose, told)
+
+
+def edition_status(events: DataFrame) -> DataFrame:
+    """(edition, status, changes): a fold of each edition's events; an event counts only in its state."""
+    return fold_machine(events.withColumnRenamed("edition", "key"), TRANSITIONS, "draft").withColumnRenamed("key", "edition")
 
 
 def model_picks(candidates: DataFrame, picks: DataFrame, most: int = 8) -> DataFrame:
