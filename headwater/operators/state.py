@@ -18,9 +18,14 @@ _NO_KEY = "\0no key"
 
 def upsert_news(log: DataFrame) -> DataFrame:
     """State after a log (id, seq, ts, title, image, url, heat): the last title, the last image that is not
-    empty, the largest heat; url and first_seen keep their first values."""
+    empty, the largest heat; url and first_seen keep their first values. Where the log has them, the last summary and the
+    first source, column and published are carried too."""
     filled = F.when(F.coalesce("image", F.lit("")) != "", F.col("seq"))
+    last = [F.max_by(c, "seq").alias(c) for c in ("summary",) if c in log.columns]
+    first = [F.min_by(c, "seq").alias(c) for c in ("source", "column", "published") if c in log.columns]
     return log.groupBy("id").agg(
+        *last,
+        *first,
         F.max_by("title", "seq").alias("title"),
         F.max_by("image", filled).alias("image"),
         F.min_by("url", "seq").alias("url"),

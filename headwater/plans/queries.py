@@ -344,8 +344,8 @@ def feed_parse(spark, d):
 def stream_upsert(spark, d):
     from headwater.streaming import micro_batches
 
-    path = micro_batches.upsert_stream(spark, news_stream(spark, d))
-    return spark.read.schema(micro_batches.NEWS).parquet(path).withColumn("first_seen", F.unix_timestamp("first_seen"))
+    news = micro_batches.upsert_stream(spark, news_stream(spark, d))
+    return news.read().withColumn("first_seen", F.unix_timestamp("first_seen"))
 
 
 def event_stream(spark, d):

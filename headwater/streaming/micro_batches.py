@@ -9,28 +9,27 @@ from pyspark.sql import functions as F
 
 from headwater.operators import state
 from headwater.sources.tables import children, work_dir
+from headwater.sources.versioned import BucketTable
 
 NEWS = "id long, title string, image string, url string, first_seen timestamp, heat double"
 
 
-def upsert_stream(spark: SparkSession, source: DataFrame, path: str | None = None) -> str:
-    """Merges each micro-batch into a versioned state table; returns the path of the last version.
+def upsert_stream(spark: SparkSession, source: DataFrame, path: str | None = None, buckets: int = 64, keep: int = 3) -> BucketTable:
+    """Merges each micro-batch into a versioned table of news and returns the table.
 
-    A batch that is delivered again writes its version again from the one before. A start with nothing new returns
-    the version that is there; without any the path of an empty one.
+    A batch rewrites the buckets of its own keys alone; one that is delivered again changes nothing; ``keep`` versions
+    stay. A start with nothing new returns the table as it is.
     """
     path = path or f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    news = BucketTable(spark, f"{path}/news", "id", NEWS, buckets, "first_seen")
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = spark.createDataFrame([], NEWS) if number == 0 else spark.read.schema(NEWS).parquet(f"{path}/v{number - 1}")
-        state.merge_news(old, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if news.merge(batch, state.merge_news, "stream", number)["changed"]:
+            news.collect(keep)
 
     query = source.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    versions = [int(n[1:]) for n in children(spark, path) if n[:1] == "v" and n[1:].isdigit() and "_SUCCESS" in children(spark, f"{path}/{n}")]
-    if not versions:
-        spark.createDataFrame([], NEWS).write.parquet(f"{path}/v0")
-    return f"{path}/v{max(versions, default=0)}"
+    return news
 
 
 def rate_limit_stream(source: DataFrame, limit: int, path: str | None = None, minutes: int = 60) -> DataFrame:
