@@ -18,13 +18,20 @@ ANCHOR = "2024-02-01 00:00:00"
 
 @dataclass(frozen=True)
 class Rules:
-    """A rule pack; patterns are ours and tuned to the test tables."""
+    """A rule pack; patterns are ours and tuned to the test tables.
+
+    ``block`` reads title, summary, categories and the words of the url's path. ``offers`` reads title and summary.
+    The rules by source have a pattern for the url or the title of that source's headlines.
+    """
 
     max_age_days: int = 10
     block: str = r"(?i)\b(?:idiot|moron|scum|trash)\b"
     noise: str = r"(?:!!|\$\$\$|###|%%%)"
     sponsored: str = r"(?i)all rights reserved"
     exclude_source: tuple[str, ...] = ("src19",)
+    offers: str | None = None
+    exclude_url: dict[str, str] = field(default_factory=dict)
+    exclude_title: dict[str, str] = field(default_factory=dict)
     include_title: dict[str, str] = field(default_factory=lambda: {"src7": r"(?i)\bthe\b"})
     routes: tuple[tuple[str, str], ...] = (("legal", r"(?i)licensed|license"), ("lists", r"\|"), ("shout", r"!!"), ("short", r"^.{1,20}$"))
 
@@ -49,16 +56,26 @@ def headlines(documents: DataFrame) -> DataFrame:
 def reason(h: DataFrame, rules: Rules = Rules()) -> Column:
     """Name of the first filter that a headline fails, or null; the order is part of the meaning."""
     both = F.concat(F.coalesce("title", F.lit("")), F.lit(" \n "), F.coalesce("summary", F.lit("")))
-    include = F.lit(True)
-    for source, pattern in rules.include_title.items():
-        include = F.when(F.col("source") == source, F.col("title").rlike(pattern)).otherwise(include)
+    have = lambda c, kind: F.col(c) if c in h.columns else F.lit(None).cast(kind)
+    read = X.rule_text(F.col("title"), F.col("summary"), have("categories", "array<string>"), have("url", "string"))
+    found = lambda column, pattern: F.coalesce(F.coalesce(column, F.lit("")).rlike(pattern), F.lit(False))
+
+    def by_source(rules_of: dict[str, str], column: Column, default: bool) -> Column:
+        out = F.lit(default)
+        for source, pattern in rules_of.items():
+            out = F.when(F.col("source") == source, found(column, pattern)).otherwise(out)
+        return out
+
+    noise = found(F.col("title"), rules.noise) | found(both, rules.sponsored) | F.coalesce(F.col("source").isin(*rules.exclude_source), F.lit(False))
+    if rules.offers:
+        noise = noise | found(both, rules.offers)
+    noise = noise | by_source(rules.exclude_url, have("url", "string"), False) | by_source(rules.exclude_title, F.col("title"), False)
     return (
         F.when(F.col("date").isNull() | (F.unix_millis("date") == 0), "undated")
         .when(F.col("date") < F.lit(ANCHOR).cast("timestamp") - F.expr(f"interval {rules.max_age_days} days"), "old")
-        .when(both.rlike(rules.block), "blocked")
-        .when(F.col("title").rlike(rules.noise) | both.rlike(rules.sponsored), "noise")
-        .when(F.col("source").isin(*rules.exclude_source), "noise")
-        .when(~include, "excluded")
+        .when(found(read, rules.block), "blocked")
+        .when(noise, "noise")
+        .when(~by_source(rules.include_title, F.col("title"), True), "excluded")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.functions import text as X
+from headwater.sources.tables import swap_in
 
 
 def look_up(items: DataFrame, cache: DataFrame, key: str, value: str) -> DataFrame:
@@ -22,6 +24,14 @@ def collect_garbage(cache: DataFrame, items: DataFrame, key: str) -> DataFrame:
     return cache.join(items.select(key).distinct(), key, "left_semi")
 
 
+def write_sorted_cache(cache: DataFrame, path: str, key: str) -> None:
+    """Writes a cache as JSON lines in the order of its key over all files, so that a run that changes few entries changes
+    few lines; the newest of equal keys is the caller's to choose. The old cache stays until the new one is whole."""
+    aside = f"{path}.new-{uuid.uuid4().hex}"
+    cache.repartitionByRange(key).sortWithinPartitions(key).write.json(aside)
+    swap_in(cache.sparkSession, aside, path)
+
+
 def batched_inference(items: DataFrame, model: Callable[[list[str]], list[str | None]], id_col: str, text_col: str, batch: int = 20, retry_batch: int = 10) -> DataFrame:
     """(id, output, tries): each row is asked once in batches, leftovers once more in smaller ones.
 
