@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from headwater.functions import text as X
 from headwater.functions import tokens
-from headwater.operators import search, state
+from headwater.operators import run, search, state
 from headwater.plans.queries import event_stream, heads, news_log
 from headwater.sources.tables import cut, table, work_dir
 from headwater.sources.versioned import BucketTable
@@ -124,4 +124,16 @@ def stream_fault_isolation(spark, d):
     return report.join(told, "name", "left").select("name", "state", F.coalesce("written", F.lit(0)).alias("written"))
 
 
-ALL = [stream_fault_isolation, versioned_upsert, versioned_history, stream_expiring_state, date_parse_zones, token_checks_signed, text_search_index, pattern_index]
+#: The feeds of the test tables but one, which is counted under other.
+FEEDS = [f"src{i}" for i in range(19)]
+
+
+def composed_run(spark, d):
+    return run.radar_run(heads(spark, d), FEEDS).items.select("column", F.col("rank").cast("long").alias("rank"), "doc_id", "id", "url", "title")
+
+
+def composed_run_report(spark, d):
+    return run.radar_run(heads(spark, d), FEEDS).report
+
+
+ALL = [composed_run, composed_run_report, stream_fault_isolation, versioned_upsert, versioned_history, stream_expiring_state, date_parse_zones, token_checks_signed, text_search_index, pattern_index]

@@ -1,14 +1,36 @@
 """DuckDB SQL of the plans in ``ledger``."""
 
-from headwater.plans.ledger import COMMON, DELIVERIES, TOKEN_KEY, TOKEN_TIME
-from headwater.plans.oracles import _H, _LOG, _UPSERT
+from headwater.plans.ledger import COMMON, DELIVERIES, FEEDS, TOKEN_KEY, TOKEN_TIME
+from headwater.plans.oracles import _H, _LOG, _REASONS, _UPSERT, _norm
 
 _PAD = {mask: bytes(b ^ mask for b in TOKEN_KEY.ljust(64, b"\0")).hex() for mask in (0x36, 0x5C)}
 _B64 = "rtrim(replace(replace(base64({0}), '+', '-'), '/', '_'), '=')"
 _PATTERNS = {w: rf"(?i)(^|[^\p{{L}}\p{{N}}]){w}([^\p{{L}}\p{{N}}]|$)" for w in COMMON} | {"licence": "(?i)licensed?( under|$)", "rights": "(?i)all rights +reserved"}
 _EACH = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS name FROM titles WHERE regexp_matches(title, '{p}')" for name, p in _PATTERNS.items())
+_RUN = f"""
+WITH RECURSIVE {_H}, {_REASONS},
+accepted AS (
+  SELECT doc_id, source, title, url, date, {_norm("title")} AS norm, row_number() OVER (ORDER BY doc_id) AS i,
+    CASE WHEN regexp_matches(title, '(?i)licensed|license') THEN 'legal' WHEN regexp_matches(title, '\\|') THEN 'lists' WHEN regexp_matches(title, '!!') THEN 'shout' WHEN length(title) BETWEEN 1 AND 20 THEN 'short' ELSE "column" END AS "column"
+  FROM reasons WHERE reason IS NULL),
+walk AS (
+  SELECT 0::BIGINT AS i, []::VARCHAR[] AS a, []::VARCHAR[] AS b, NULL::BIGINT AS kept
+  UNION ALL
+  SELECT r.i, CASE WHEN ok THEN list_append(a, url) ELSE a END, CASE WHEN ok THEN list_append(b, norm) ELSE b END, CASE WHEN ok THEN doc_id END
+  FROM (SELECT r.*, w.a, w.b, NOT list_contains(w.a, r.url) AND NOT list_contains(w.b, r.norm) AS ok FROM walk w JOIN accepted r ON r.i = w.i + 1) r),
+uniq AS (SELECT a.* FROM accepted a JOIN walk w ON w.kept = a.doc_id),
+per AS (SELECT *, row_number() OVER (PARTITION BY "column", source ORDER BY date DESC, doc_id) AS r1 FROM uniq),
+used AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY date DESC, doc_id) AS rank FROM per WHERE r1 <= 7 QUALIFY rank <= 36)"""
 
 LEDGER = {
+    "composed_run": f"""{_RUN} SELECT "column", rank, doc_id, substr(sha1(url), 1, 10) AS id, url, title FROM used""",
+    "composed_run_report": f"""{_RUN},
+feeds AS (SELECT unnest({FEEDS + ["other"]}) AS source),
+told AS (SELECT CASE WHEN list_contains({FEEDS}, source) THEN source ELSE 'other' END AS source, reason, doc_id FROM reasons)
+SELECT f.source, count(o.doc_id) AS found, count(*) FILTER (reason = 'undated') AS undated, count(*) FILTER (reason = 'old') AS old, count(*) FILTER (reason = 'blocked') AS blocked,
+  count(*) FILTER (reason = 'noise') AS noise, count(*) FILTER (reason = 'excluded') AS excluded,
+  count(o.doc_id) FILTER (reason IS NULL AND u.doc_id IS NULL) AS duplicated, count(*) FILTER (u.doc_id IS NOT NULL AND s.doc_id IS NULL) AS limited, count(s.doc_id) AS used
+FROM feeds f LEFT JOIN told o ON o.source = f.source LEFT JOIN uniq u ON u.doc_id = o.doc_id LEFT JOIN used s ON s.doc_id = o.doc_id GROUP BY f.source""",
     "stream_fault_isolation": """
 SELECT event_type AS name, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS state, count(*) FILTER (event_type <> 'error') AS written
 FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY event_type""",

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from headwater.operators import curate, enrich
+from headwater.operators import curate, enrich, run
 
 RULES = curate.Rules(block=r"(?i)\bcasino\b", offers=r"(?i)\d+% off", exclude_url={"s1": r"/video/"}, exclude_title={"s2": r"(?i)^live:"}, include_title={"s3": r"(?i)economy"})
 
@@ -39,3 +39,21 @@ def test_cache_is_written_in_the_order_of_its_keys(spark, tmp_path):
     assert [json.loads(x)["key"] for x in first] == sorted(json.loads(x)["key"] for x in first) and len(first) == 1000
     enrich.write_sorted_cache(cache.withColumn("v", F.when(F.col("v") == 5, -1).otherwise(F.col("v"))), path, "key")
     assert sum(a != b for a, b in zip(first, lines(), strict=True)) == 1
+
+
+def test_run_counts_on_the_way_and_reads_nothing_twice(spark):
+    at = F.lit(curate.ANCHOR).cast("timestamp")
+    rows = [
+        (1, "s1", "One", "https://x.example/a?utm_source=q"), (2, "s1", "Other", "https://x.example/a#top"), (3, "s1", "one!", "https://x.example/b"), (4, "s2", "Casino", "https://x.example/c"),
+        (5, None, "No source", "https://x.example/d"), (6, "s7", "Unknown feed", "https://x.example/e"), (7, "s2", "99% off", "https://x.example/f"), (8, "s1", "No url", None), (9, "s1", "No url either", None),
+    ]
+    h = spark.createDataFrame(rows, "doc_id long, source string, title string, url string").withColumn("summary", F.lit("")).withColumn("column", F.lit("en")).withColumn("date", at)
+    made = run.radar_run(h, ["s1", "s2", "s3"], RULES, per_source=1)
+    got = {r.source: (r.found, r.blocked, r.noise, r.duplicated, r.limited, r.used) for r in made.report.collect()}
+    assert got == {"s1": (5, 0, 0, 3, 1, 1), "s2": (2, 1, 1, 0, 0, 0), "s3": (0,) * 6, "other": (2, 0, 0, 0, 0, 2)}
+    assert {r.doc_id for r in made.items.collect()} == {1, 5, 6}
+    assert {r.url for r in made.items.where("doc_id = 1").collect()} == {"https://x.example/a"}
+    plan = made.report._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" not in plan and "Aggregate" not in plan
+    empty = run.radar_run(h.limit(0), ["s1"], RULES)
+    assert empty.items.count() == 0 and [tuple(r)[1:] for r in empty.report.collect()] == [(0,) * 9] * 2
