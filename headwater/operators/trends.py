@@ -178,3 +178,20 @@ def item_heat(items: DataFrame, trends: DataFrame) -> DataFrame:
     """(id, heat): the scores of the trends that hold an item; 0 where there are none."""
     heat = trends.select(F.explode("ids").alias("id"), F.col("score").cast("decimal(18,1)").alias("s")).groupBy("id").agg(F.sum("s").alias("s"))
     return items.select("id").join(heat, "id", "left").select("id", F.coalesce(F.col("s").cast("double"), F.lit(0.0)).alias("heat"))
+
+
+def trend_rows(selected: DataFrame, scored: DataFrame) -> DataFrame:
+    """The selected trends (rank, term, score), a dozen, with count, sources and column."""
+    return scored.join(F.broadcast(selected.select("rank", "term")), "term").select("rank", "term", "score", "count", "sources", "column")
+
+
+def trend_items(selected: DataFrame, hits: DataFrame) -> DataFrame:
+    """(rank, term, id): a row for each item of each selected trend; ``hits`` are distinct on (term, id)."""
+    return hits.join(F.broadcast(selected.select("rank", "term")), "term").select("rank", "term", "id")
+
+
+def selected_heat(items: DataFrame, selected: DataFrame, hits: DataFrame) -> DataFrame:
+    """(id, heat): the scores of the selected trends that hold an item, watched and mined; 0 where there are none."""
+    score = F.broadcast(selected.select("term", F.col("score").cast("decimal(18,1)").alias("s")))
+    heat = hits.join(score, "term").groupBy("id").agg(F.sum("s").alias("s"))
+    return items.select("id").join(heat, "id", "left").select("id", F.coalesce(F.col("s").cast("double"), F.lit(0.0)).alias("heat"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from headwater.functions import text as X
 from headwater.functions import tokens
-from headwater.operators import run, search, state
-from headwater.plans.queries import event_stream, heads, news_log
+from headwater.operators import run, search, state, trends
+from headwater.plans.queries import anchor, event_stream, heads, mined_hits, news_log
 from headwater.sources.tables import cut, table, work_dir
 from headwater.sources.versioned import BucketTable
 from headwater.streaming import keyed_state, micro_batches, supervise
@@ -136,4 +136,26 @@ def composed_run_report(spark, d):
     return run.radar_run(heads(spark, d), FEEDS).report
 
 
-ALL = [composed_run, composed_run_report, stream_fault_isolation, versioned_upsert, versioned_history, stream_expiring_state, date_parse_zones, token_checks_signed, text_search_index, pattern_index]
+def _selected(spark, d):
+    """(the selected trends, all scored terms, hits), as written tables."""
+    hits = cut(mined_hits(spark, d), "term-hits")
+    scored = cut(trends.score_terms(hits, anchor()), "term-scores")
+    return trends.suppress_redundant(scored, hits, "place"), scored, hits
+
+
+def trend_report(spark, d):
+    selected, scored, _ = _selected(spark, d)
+    return trends.trend_rows(selected, scored)
+
+
+def trend_items(spark, d):
+    selected, _, hits = _selected(spark, d)
+    return trends.trend_items(selected, hits)
+
+
+def item_heat_selected(spark, d):
+    selected, _, hits = _selected(spark, d)
+    return trends.selected_heat(heads(spark, d), selected, hits)
+
+
+ALL = [trend_report, trend_items, item_heat_selected, composed_run, composed_run_report, stream_fault_isolation, versioned_upsert, versioned_history, stream_expiring_state, date_parse_zones, token_checks_signed, text_search_index, pattern_index]

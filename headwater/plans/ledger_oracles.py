@@ -1,7 +1,7 @@
 """DuckDB SQL of the plans in ``ledger``."""
 
 from headwater.plans.ledger import COMMON, DELIVERIES, FEEDS, TOKEN_KEY, TOKEN_TIME
-from headwater.plans.oracles import _H, _LOG, _REASONS, _UPSERT, _norm
+from headwater.plans.oracles import _H, _LOG, _REASONS, _UPSERT, ORACLES, _norm
 
 _PAD = {mask: bytes(b ^ mask for b in TOKEN_KEY.ljust(64, b"\0")).hex() for mask in (0x36, 0x5C)}
 _B64 = "rtrim(replace(replace(base64({0}), '+', '-'), '/', '_'), '=')"
@@ -21,8 +21,14 @@ walk AS (
 uniq AS (SELECT a.* FROM accepted a JOIN walk w ON w.kept = a.doc_id),
 per AS (SELECT *, row_number() OVER (PARTITION BY "column", source ORDER BY date DESC, doc_id) AS r1 FROM uniq),
 used AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY date DESC, doc_id) AS rank FROM per WHERE r1 <= 7 QUALIFY rank <= 36)"""
+#: The walk of ``trend_top``, and what it keeps.
+_TOP = ORACLES["trend_top"].rsplit("SELECT row_number()", 1)[0].rstrip() + ", top AS (SELECT row_number() OVER (ORDER BY i) AS rank, term, tenths FROM walk WHERE term IS NOT NULL)"
 
 LEDGER = {
+    "trend_report": f"""{_TOP} SELECT rank, term, (m.tenths / 10.0)::DOUBLE AS score, count, sources, "column" FROM top JOIN mined m USING (term)""",
+    "trend_items": f"""{_TOP} SELECT rank, term, unnest(ids) AS id FROM top JOIN mined m USING (term)""",
+    "item_heat_selected": f"""{_TOP}, x AS (SELECT unnest(ids) AS id, m.tenths FROM top JOIN mined m USING (term)), y AS (SELECT id, sum(tenths) AS t FROM x GROUP BY id)
+SELECT heads.id, (coalesce(t, 0) / 10.0)::DOUBLE AS heat FROM heads LEFT JOIN y ON heads.id = y.id""",
     "composed_run": f"""{_RUN} SELECT "column", rank, doc_id, substr(sha1(url), 1, 10) AS id, url, title FROM used""",
     "composed_run_report": f"""{_RUN},
 feeds AS (SELECT unnest({FEEDS + ["other"]}) AS source),
