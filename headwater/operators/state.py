@@ -153,14 +153,17 @@ def model_picks(candidates: DataFrame, picks: DataFrame, most: int = 8) -> DataF
 
 
 def weekly_edition(candidates: DataFrame, picks: DataFrame, least: int = 3, most: int = 8) -> DataFrame:
-    """The model's picks if enough are valid, else the hottest candidates; nothing below ``least`` candidates."""
-    if candidates.limit(least).count() < least:
-        return candidates.select("item_id", F.lit(0).alias("pos")).limit(0)
-    good = model_picks(candidates, picks, most)
-    if good.count() >= least:
-        return good.select("item_id", "pos")
-    order = Window.orderBy(F.desc("heat"), F.asc("item_id"))
-    return candidates.orderBy(F.desc("heat"), F.asc("item_id")).limit(most).withColumn("pos", F.row_number().over(order)).select("item_id", "pos")
+    """The model's picks if enough are valid, else the hottest candidates; nothing below ``least`` candidates.
+
+    Which it is, is part of the plan: both lists, ``most`` rows at most, meet one row of counts, so nothing runs before an action.
+    """
+    good = model_picks(candidates, picks, most).select("item_id", "pos")
+    hottest = candidates.orderBy(F.desc("heat"), F.asc("item_id")).limit(most)
+    hottest = hottest.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("heat"), F.asc("item_id")))).select("item_id", "pos")
+    lists = good.withColumn("_picked", F.lit(True)).unionByName(hottest.withColumn("_picked", F.lit(False)))
+    counts = candidates.limit(least).agg(F.count(F.lit(1)).alias("_there")).crossJoin(good.agg(F.count(F.lit(1)).alias("_valid")))  # one row each
+    met = lists.crossJoin(F.broadcast(counts)).where((F.col("_there") >= least) & (F.col("_picked") == (F.col("_valid") >= least)))
+    return met.select("item_id", "pos")
 
 
 def upsert_drafts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
