@@ -136,6 +136,14 @@ def composed_run_report(spark, d):
     return run.radar_run(heads(spark, d), FEEDS).report
 
 
+def summary_clean(spark, d):
+    """Titles as summaries with tags, escaped tags and footers around them, of any length."""
+    kind = F.col("doc_id") % 5
+    tail = F.when(kind == 0, " [&#8230;]").when(kind == 1, F.concat(F.lit(" Continue reading "), F.repeat(F.lit("a long way "), 30))).when(kind == 2, F.concat(F.lit(" The post "), F.col("source"), F.lit(" appeared first on <b>Desk</b>."))).when(kind == 3, "&lt;br&gt;&lt;i&gt;&lt;/i&gt;").otherwise("")
+    raw = F.concat(F.lit("<![CDATA[<p>"), X.escape_html(F.col("title")), F.lit("</p>"), tail, F.lit("]]>"))
+    return heads(spark, d).select("doc_id", X.clean_summary(raw).alias("summary"))
+
+
 def _selected(spark, d):
     """(the selected trends, all scored terms, hits), as written tables."""
     hits = cut(mined_hits(spark, d), "term-hits")
@@ -158,4 +166,4 @@ def item_heat_selected(spark, d):
     return trends.selected_heat(heads(spark, d), selected, hits)
 
 
-ALL = [trend_report, trend_items, item_heat_selected, composed_run, composed_run_report, stream_fault_isolation, versioned_upsert, versioned_history, stream_expiring_state, date_parse_zones, token_checks_signed, text_search_index, pattern_index]
+ALL = [summary_clean, trend_report, trend_items, item_heat_selected, composed_run, composed_run_report, stream_fault_isolation, versioned_upsert, versioned_history, stream_expiring_state, date_parse_zones, token_checks_signed, text_search_index, pattern_index]

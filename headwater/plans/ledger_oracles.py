@@ -25,6 +25,8 @@ used AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY date DESC,
 _TOP = ORACLES["trend_top"].rsplit("SELECT row_number()", 1)[0].rstrip() + ", top AS (SELECT row_number() OVER (ORDER BY i) AS rank, term, tenths FROM walk WHERE term IS NOT NULL)"
 
 LEDGER = {
+    "summary_clean": f"""WITH {_H}, plain AS (SELECT doc_id, trim(regexp_replace(title, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS t FROM heads)
+SELECT doc_id, t || CASE WHEN doc_id % 5 = 0 THEN '…' ELSE '' END AS summary FROM plain""",
     "trend_report": f"""{_TOP} SELECT rank, term, (m.tenths / 10.0)::DOUBLE AS score, count, sources, "column" FROM top JOIN mined m USING (term)""",
     "trend_items": f"""{_TOP} SELECT rank, term, unnest(ids) AS id FROM top JOIN mined m USING (term)""",
     "item_heat_selected": f"""{_TOP}, x AS (SELECT unnest(ids) AS id, m.tenths FROM top JOIN mined m USING (term)), y AS (SELECT id, sum(tenths) AS t FROM x GROUP BY id)

@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from headwater.functions import text as X
 from headwater.operators import curate, enrich, run
 
 RULES = curate.Rules(block=r"(?i)\bcasino\b", offers=r"(?i)\d+% off", exclude_url={"s1": r"/video/"}, exclude_title={"s2": r"(?i)^live:"}, include_title={"s3": r"(?i)economy"})
@@ -57,3 +58,13 @@ def test_run_counts_on_the_way_and_reads_nothing_twice(spark):
     assert "Scan parquet" not in plan and "Aggregate" not in plan
     empty = run.radar_run(h.limit(0), ["s1"], RULES)
     assert empty.items.count() == 0 and [tuple(r)[1:] for r in empty.report.collect()] == [(0,) * 9] * 2
+
+
+def test_summaries_lose_footers_of_any_length(spark):
+    cases = {
+        "&lt;p&gt;Oi &lt;b&gt;mundo&lt;/b&gt;&lt;/p&gt; [&#8230;]": "Oi mundo…", "<p>Text</p> Read more " + "x " * 200: "Text", "A [...] b": "A [...] b", "A [...] ": "A…",
+        "Body O post Um título apareceu primeiro em Sítio.": "Body", "Readmore is one word": "Readmore is one word", "a &lt; b": "a < b", "Leia mais": "", "": "", None: "",
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    got = {r.i: r.s for r in rows.select("i", X.clean_summary(F.col("t")).alias("s")).collect()}
+    assert got == dict(enumerate(cases.values()))
