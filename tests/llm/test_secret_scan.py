@@ -139,3 +139,46 @@ def test_clashing_columns_and_repeats(spark):
     got = ss.find_secrets(docs).collect()
     assert sorted((str(r.doc_id), len(r.spans)) for r in got) == [("1", 2), ("1", 2), ("3", 0), ("None", 0)]
     assert ss.find_secrets(docs.where("false")).count() == 0
+
+
+VALUE = "Xk9fQ2mZt7Lp4Rv8"
+
+
+def test_declarations_prefixes_and_brackets():
+    for text in (
+        f'db_pwd: str = "{VALUE}"', f'let db_pwd: String = "{VALUE}";', f'let db_pwd: &\'static str = "{VALUE}";', f'const dbPwd: string | null = "{VALUE}"', f'pwd?: string = "{VALUE}"',
+        f'val pwd: String? = "{VALUE}"', f'pwds: Dict[str, List[str]] = ["{VALUE}"]', f'static pwd: std::string::String = "{VALUE}"', f'var pwd string = "{VALUE}"', f'string pwd = "{VALUE}";',
+        f'pwd = b"{VALUE}"', f'pwd = r"{VALUE}"', f"pwd = rb'{VALUE}'", f'pwd = @"{VALUE}"', f'pwd = ("{VALUE}")', f'pwd = (\n  "{VALUE}"\n)', f'a, pwd = 1, "{VALUE}"', f'(pwd, a) = ("{VALUE}", 1)'.replace('= (', '= ').rstrip(")"),
+        f'pwd, a = "{VALUE}", 1', f"pwd: !!str {VALUE}", f"pwd: |\n  {VALUE}\nnext: x", f"a:\n  pwd: >-\n    {VALUE}\n  next: x", f'pwd <- "{VALUE}"', f"pwd ?= {VALUE}", f"pwd := {VALUE}", f'pwd ||= "{VALUE}"', f'pwd += "{VALUE}"',
+        f'define("DB_PWD", "{VALUE}")', f'x = os.environ.get("DB_PWD", "{VALUE}")', f"setenv('DB_PWD', '{VALUE}')", f':pwd => "{VALUE}"', f'pwd = String::from("{VALUE}")', f'pwd = new SecretStr("{VALUE}")', f'pwd = f"{{X}}"\nX = "{VALUE}"',
+    ):
+        assert lexed(text) == [VALUE], text
+    assert lexed(f'pwd = f"{{X}}{VALUE}"') == [f"{{X}}{VALUE}"]
+    assert lexed(f'tokenSecrets = ["{VALUE}", "{VALUE}2"]') == [VALUE, VALUE + "2"]
+    assert lexed(f"pwd: |\n  {VALUE}\n  second line\nnext: x") == [f"{VALUE}\n  second line"]
+
+
+def test_joined_literals():
+    for text, want in (
+        ('pwd = "Xk9fQ2mZ" "t7Lp4Rv8"', '"Xk9fQ2mZ" "t7Lp4Rv8"'), ('pwd = ("Xk9fQ2mZ"\n       "t7Lp4Rv8")', '"Xk9fQ2mZ"\n       "t7Lp4Rv8"'), ('pwd = "Xk9fQ2mZ" \\\n  "t7Lp4Rv8"', '"Xk9fQ2mZ" \\\n  "t7Lp4Rv8"'),
+        ('$pwd = "Xk9fQ2mZ" . "t7Lp4Rv8";', '"Xk9fQ2mZ" . "t7Lp4Rv8"'), ('pwd = "Xk9fQ2mZ" .. "t7Lp4Rv8"', '"Xk9fQ2mZ" .. "t7Lp4Rv8"'), ('pwd = "Xk9fQ2mZ" +\n  "t7Lp4Rv8"', '"Xk9fQ2mZ" +\n  "t7Lp4Rv8"'),
+    ):
+        assert lexed(text) == [want], text
+
+
+def test_calls_are_no_literals():
+    for text in ("pwd = getSecret()", 'pwd = os.environ.get("HOME_DIRECTORY")', "pwd = get_secret(name)", 'pwd = vault.read("kv/data/App1/db")', "pwd = settings[KEY2xZ9]", 'a, pwd = "q7Zp93Kd0aXw", load()', "password: something else here", "pwd = {}", "if pwd == 'q7Zp93Kd0aXw':", "x <= pwd"):
+        assert lexed(text) == [], text
+
+
+def test_short_and_plain_literals_are_scored():
+    assert lexed('pwd = "hunter2"') == ["hunter2"] and lexed('pwd = "correcthorse"') == ["correcthorse"] and lexed("pwd=correcthorsebattery\n") == ["correcthorsebattery"]
+    for text in ('"password": "Passwort"', 'password = "required"', "password: correcthorse and more", 'title = "hunter2"', 'token: "string"', 'pwd = "x1"'):
+        assert lexed(text) == [], text
+
+
+def test_reading_is_linear():
+    for part in ("a:b<", "a:b::", "a: |\n b\n", "a = (", "a = ([", "a, ", "a, b = 1, ", '("a", ', "a = b(", "a = b.", "a = 'b' 'c' ", 'a = "b" . ', "a: !b ", "a = &b ", "a: b | ", "a: [", "f'{a", "a = new ", "a = A::", "a: |\n"):
+        began = time.process_time()
+        ss.lexed_spans(part * (300_000 // len(part)))
+        assert time.process_time() - began < 5, part
