@@ -70,6 +70,17 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def one_text_an_id(rows: DataFrame, keep: str, id_col: str = "_id", text_col: str = "_text") -> DataFrame:
+    """(id, ``keep``, text): of the rows of each id the one whose text has the smallest hash, the smaller text on a tie.
+
+    Chosen before the shuffle too, so an id on very many rows is no hot key and counts as one row of a bounded sample.
+    ``keep`` is the same on all rows of an id; a null text counts as empty.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    least = rows.groupBy(id_col, keep).agg(F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("t"))).alias("_least"))
+    return least.select(id_col, keep, F.col("_least.t").alias(text_col))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Splits batches of long texts so that Python never holds many of them at once."""
     for batch in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, cut, reserved, small_batches
+from .common import as_bytes, cut, one_text_an_id, reserved, small_batches
 
 MAX_ROWS = 2000
 BUCKETS = 1 << 14
@@ -97,7 +97,7 @@ def train(rows: list[tuple[bytes, str]], steps: int = 150, rate: float = 3.0, de
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", max_rows: int = MAX_ROWS) -> Classifier:
-    """labelled: ids with their domain."""
+    """labelled: ids with their domain. Of an id on several rows of ``docs`` one text is learnt from."""
     sample = (
         labelled.select(F.col(id_col).cast("long").alias("_id"), F.col(domain_col).cast("string").alias("_domain"))
         .where("_id is not null and _domain is not null")
@@ -107,7 +107,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
         .limit(max_rows)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = texts.join(F.broadcast(sample), "_id").select("_id", "_domain", F.coalesce("_text", F.lit("")).alias("_text"))
+    rows = one_text_an_id(texts.join(F.broadcast(sample), "_id"), "_domain")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), as_bytes(b.column(2)), b.column(1).to_pylist(), strict=True))

@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, reserved, small_batches
+from .common import as_bytes, one_text_an_id, reserved, small_batches
 from .tokens import coded_words, hash_all
 
 MAX_ROWS = 6000
+#: Tasks that make the features of the sample, whose size is bounded.
+FIT_TASKS = 16
 STEMS = (5, 7)
 _SIEVE_BITS = 22
 _ENDS = ".,;:!?\"'()[]{}<>|*#$%&"
@@ -135,7 +137,7 @@ def _score(texts: list[bytes | None], model: Model, sieve: np.ndarray) -> np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, how: Ftrl = Ftrl()) -> Model:
-    """labels: the rows that may be learnt from."""
+    """labels: the rows that may be learnt from. Of an id on several rows of ``docs`` one text is learnt from."""
     sample = (
         labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label"))
         .where("_id is not null and _label is not null")
@@ -145,8 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .limit(max_rows)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    # The sample has max_rows ids at most, so its size is bounded whatever the tables hold.
-    joined = texts.join(F.broadcast(sample), "_id").select("_id", "_label", "_text")
+    # The sample has max_rows ids at most and one text of each, so its size is bounded whatever the tables hold.
+    joined = one_text_an_id(texts.join(F.broadcast(sample), "_id"), "_label").repartition(FIT_TASKS)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):

@@ -3,8 +3,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from headwater.llm import quality, toxicity
-from headwater.llm.common import fold_bucket
+from headwater.llm import mixing, quality, toxicity
+from headwater.llm.common import fold_bucket, one_text_an_id
 
 COMMON = "the of and a river stone house walks under bright morning with field tree road cloud water".split()
 
@@ -155,3 +155,24 @@ def test_repeated_rows(spark):
     toxic_docs, toxic_labels, _ = toxic_tables(spark, 60)
     model = toxicity.fit(toxic_docs.unionByName(toxic_docs), toxic_labels.unionByName(toxic_labels))
     assert toxicity.score(toxic_docs.unionByName(toxic_docs), model).count() == 126
+
+
+def test_an_id_on_very_many_rows_is_one_row_of_the_sample(spark):
+    docs, labels, _ = toxic_tables(spark, 200)
+    hot = spark.range(100_000, numPartitions=4).select(F.lit(8).cast("long").alias("doc_id"), F.concat(F.lit("plain words "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("score"))
+    many = docs.where("doc_id is null or doc_id <> 8").unionByName(hot)
+    chosen = hot.selectExpr("min(struct(xxhash64(text) h, text)) m").select("m.text").first().text
+    one = docs.where("doc_id is null or doc_id <> 8").unionByName(hot.where(F.col("text") == chosen))
+    a, b = toxicity.fit(many, labels), toxicity.fit(one, labels)
+    assert a.trained and a.bias == b.bias and np.array_equal(a.keys, b.keys) and np.array_equal(a.weights, b.weights)
+    domains = labels.where("doc_id is not null").select("doc_id", F.when(F.col("toxic") == 1, "x").otherwise("y").alias("domain"))
+    c, d = mixing.fit_classifier(many, domains), mixing.fit_classifier(one, domains)
+    assert c.domains == d.domains and np.array_equal(c.weights, d.weights)
+
+
+def test_one_text_an_id_is_chosen_before_the_shuffle(spark):
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (1, 0, None), (2, 1, None)], "_id long, _label int, _text string")
+    picked = one_text_an_id(rows, "_label")
+    assert sorted(r._id for r in picked.collect()) == [1, 2] and picked.where("_id = 2").first()._text == ""
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and one_text_an_id(rows.where("false"), "_label").count() == 0
