@@ -75,10 +75,10 @@ def parse_feed(df: DataFrame, xml_col: str = "xml") -> DataFrame:
     return out.where((F.coalesce("title", F.lit("")) != "") & F.col("url").isNotNull()).drop("_entry")
 
 
-def embedded_snapshot(html: Column) -> Column:
+def embedded_snapshot(html: Column, schema: str = SNAPSHOT_SCHEMA) -> Column:
     """The JSON document in the page's data script; null if it is absent or broken."""
     body = F.regexp_extract(html, r"(?is)<script[^>]*id=[\"']page-data[\"'][^>]*>(.*?)</script>", 1)
-    return F.from_json(F.nullif(body, F.lit("")), SNAPSHOT_SCHEMA)
+    return F.from_json(F.nullif(body, F.lit("")), schema)
 
 
 def share_image(html: Column) -> Column:

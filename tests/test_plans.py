@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 from headwater.plans import queries as plans
-from headwater.plans import ledger, newsroom, serving
+from headwater.plans import archive, ledger, newsroom, serving
+from headwater.plans.archive_oracles import ARCHIVE
 from headwater.plans.ledger_oracles import LEDGER
 from headwater.plans.newsroom_oracles import NEWSROOM
 from headwater.plans.oracles import ORACLES
@@ -28,10 +29,10 @@ def rounded(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("plan", [*plans.ALL, *serving.ALL, *newsroom.ALL, *ledger.ALL], ids=lambda p: p.__name__)
+@pytest.mark.parametrize("plan", [*plans.ALL, *serving.ALL, *newsroom.ALL, *ledger.ALL, *archive.ALL], ids=lambda p: p.__name__)
 def test_same_rows_as_sql(spark, con, plan):
     df = plan(spark, SF)
-    want = con.sql((ORACLES | SERVING | NEWSROOM | LEDGER)[plan.__name__])
+    want = con.sql((ORACLES | SERVING | NEWSROOM | LEDGER | ARCHIVE)[plan.__name__])
     columns = sorted(df.columns)
     assert sorted(want.columns) == columns
     got_rows = sorted((tuple(rounded(r[c]) for c in columns) for r in df.collect()), key=str)
