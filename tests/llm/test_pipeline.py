@@ -77,5 +77,5 @@ def test_each_stage_by_hand(spark, sf):
 
 def test_registered(spark):
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert len(cp.STAGES) == 5
