@@ -47,7 +47,7 @@ def headlines(documents: DataFrame) -> DataFrame:
         F.col("lang").alias("column"),
         "source",
         X.truncate(X.tidy_title(first), 200).alias("title"),
-        F.trim(rest).alias("summary"),
+        X.trim_blanks(rest).alias("summary"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example/"), F.col("n_chars").cast("string")).alias("url"),
         F.least(ts, F.lit(ANCHOR).cast("timestamp")).alias("date"),
     )
