@@ -7,13 +7,13 @@ what links reach. Words and shingles are those of ``simhash``.
    repeats), and ``simhash.links`` finds the fingerprints within 3 bits by pigeonring chains. These pairs, and sets
    of one fingerprint, are compared by their sets.
 2. A similarity of 0.8 is about 10 bits of 64, which no index of that radius tells from chance, so fingerprints
-   alone miss most light edits. The rest is found by their shingles: shingles that are frequent in a sample come
-   last, the others first, each by hash, and texts meet in the buckets of their first ones. The first
+   alone miss most light edits. The rest is found by their shingles: shingles that are frequent in the whole table
+   come last, the others first, each by hash, and texts meet in the buckets of their first ones. The first
    n - ceil(0.8 n) + 1 always have one in common with those of a similar text. Where most shingles of a text are not
    frequent fewer do: of those of two similar texts a share of q = 0.25 n / r at most differs (r: shingles that are
    not frequent), so their first t by hash all differ with a chance below q ** t; t is chosen for 1e-12 and is 20 for
-   most texts. The sample is an eighth of the texts, so that buckets stay as small in large tables, and decides the
-   cost alone. Each member of a bucket is compared with the first of it, then, where a bucket still holds several
+   most texts. All shingles of all rows are counted, by the upper half of their hashes; which ones count as frequent
+   decides the cost alone. Each member of a bucket is compared with the first of it, then, where a bucket still holds several
    classes, with some others; what is then still in different classes of a bucket is compared pair by pair. So
    groups of near copies, which the first rounds join, do not become pairs.
 
@@ -37,14 +37,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, broadcast_if_small, cut, join_hot, small_batches
+from .common import as_bytes, broadcast_if_small, cut, join_hot, partitions, small_batches
 from .components import connected_components
 from .simhash import SEED, links, majority, shingle_hashes
 
 WIDTH = 5
 #: The similarity as a fraction.
 LEAST = (4, 5)
-#: One text in so many is sampled to find frequent shingles, those in so many texts of the sample; how many are kept.
+#: Shingles in SAMPLE * FREQUENT rows of the whole table are frequent (no text is left out, whatever SAMPLE is); how many
+#: of them, the most frequent first, come last.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8, 2, 1_000_000
 MOST_BROADCAST = 200_000
 #: Members of a bucket that all others are compared with, and how often, before it comes to pairs.
@@ -60,12 +61,17 @@ def name_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64)) if len(found) else 0
 
 
+def _upper(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(32)).astype(np.uint32)
+
+
 def _prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     n = rare = len(found)
     most = n - -(-n * LEAST[0] // LEAST[1]) + 1 if n else 0
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        late = frequent[at] == found
+        upper = _upper(found)
+        at = np.minimum(np.searchsorted(frequent, upper), len(frequent) - 1)
+        late = frequent[at] == upper
         rare = n - int(late.sum())
         found = np.concatenate([found[~late], found[late]])
     if 4 * rare > n:
@@ -91,17 +97,38 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _frequent(narrow: DataFrame, width: int) -> np.ndarray:
-    """The hashes, sorted, of shingles that several different texts of the sample have."""
+    """The upper halves, sorted, of the hashes of the shingles that many rows have, counted over all rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 2 << 20):
-            found = [np.unique(shingle_hashes(t, width)) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["key"])
-
-    some = narrow.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    many = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= FREQUENT)
-    top = many.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).select("key").toArrow()
-    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    Tasks send each part of the range of halves its sorted keys and their counts, some 4 bytes a shingle; there are as
+    many parts as shuffle partitions, so a group stays small in large tables.
+    """
+    bits = min(16, max(6, (partitions(narrow.sparkSession) - 1).bit_length()))
+    least = SAMPLE * FREQUENT
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            found = [np.unique(_upper(shingle_hashes(t, width))) for t in as_bytes(batch.column(1))]
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *found]), return_counts=True)
+            if not len(keys):
+                continue
+            n = n.astype(np.uint32)
+            part, starts = np.unique(keys >> np.uint32(32 - bits), return_index=True)
+            ends = [*starts[1:], len(keys)]
+            both = [pa.array([x[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()) for x in (keys, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *both], ["part", "keys", "n"])
+
+    def count(part: pa.Table) -> pa.Table:
+        keys, n = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32) for c in ("keys", "n"))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        rows = np.add.reduceat(n[order].astype(np.int64), starts)
+        many = rows >= least
+        return pa.table({"key": keys[starts][many].astype(np.int64), "rows": rows[many]})
+
+    many = narrow.mapInArrow(deal, "part long, keys binary, n binary").groupBy("part").applyInArrow(count, "key long, rows long")
+    top = many.orderBy(F.desc("rows"), "key").limit(MOST_FREQUENT).select("key").toArrow()
+    return np.sort(top.column(0).to_numpy().astype(np.uint32))
 
 
 def _sketches(narrow: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:

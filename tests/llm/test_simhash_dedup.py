@@ -63,6 +63,19 @@ def test_empty(spark):
     assert sd.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_frequent_shingles_are_counted_over_all_rows(spark):
+    """A shingle of 16 texts is frequent and one of 15 is not, wherever they lie; 40 copies and repeats within a text count as rows."""
+    own = lambda k: " ".join(f"t{k}x{i}" for i in range(6))
+    passages = {n: " ".join(f"p{n}y{i}" for i in range(5)) for n in (1, 15, 16, 17)}
+    rows = [(k, " ".join([own(k), *[p for n, p in passages.items() if k < n]] + [passages[1]] * (3 if k == 0 else 0))) for k in range(60)]
+    rows += [(100 + k, "one text of forty copies") for k in range(40)] + [(200, None)]
+    found = sd._frequent(sd._narrow(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"), 5)
+    upper = lambda text: set(sd._upper(sd.shingle_hashes(text.encode(), 5)).tolist())
+    assert set(found.tolist()) >= upper(passages[16]) | upper(passages[17]) | upper("one text of forty copies")
+    assert not set(found.tolist()) & (upper(passages[15]) | upper(passages[1]) | upper(own(3)))
+    assert list(found) == sorted(found)
+
+
 def test_small_limits_give_the_same(spark, monkeypatch):
     """Large buckets, hot texts and joins without broadcasts lead to the same rows."""
     for name, value in (("SAMPLE", 1), ("MOST_BROADCAST", 0), ("MOST_PAIRS", 2)):
