@@ -7,8 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headwater.sources.tables import cut
+
 #: Lengths of the grams in an index; needles of that length or shorter are found by one gram.
 LENGTHS = (1, 2, 3)
+#: So many needles at most are broadcast.
+MOST_BROADCAST = 200_000
 
 
 def grams(text: Column, lengths: tuple[int, ...] = LENGTHS) -> Column:
@@ -22,22 +26,40 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.where("text is not null").select("part", F.explode(grams(F.col("text"))).alias("gram"), "id")
 
 
-def search(needles: DataFrame, index: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
+def search(needles: DataFrame, index: DataFrame, rows: DataFrame) -> DataFrame:
     """(needle_id, id, part): the rows whose text contains a needle (needle_id, part, needle), each once.
 
-    A needle's ``most`` rarest grams are looked up, their lists are intersected, and what is left is compared with the whole
-    needle. A needle with a gram that no text has finds nothing; empty and null needles find nothing either.
+    Each different needle is looked up once, by its rarest gram. An id is shuffled once, with the grams that it has of those;
+    where it meets its text, the needles of these grams are compared as a whole, and the ids of a needle that is found are
+    listed. So no pair is shuffled. A needle with a gram that no text has finds nothing; empty and null needles find nothing
+    either.
     """
     size = max(LENGTHS)
     own = F.when(F.length("needle") < size, F.array("needle")).otherwise(grams(F.col("needle"), (size,)))
-    asked = needles.where("needle <> ''").select("needle_id", "part", "needle", F.size(own).alias("grams"), F.explode(own).alias("gram"))
-    counts = index.join(asked.select("part", "gram").distinct(), ["part", "gram"], "left_semi").groupBy("part", "gram").agg(F.count(F.lit(1)).alias("rows"))
-    known = asked.join(counts, ["part", "gram"])
-    by = Window.partitionBy("needle_id", "part", "needle")  # as many rows as a needle has grams
-    ranked = known.withColumn("place", F.row_number().over(by.orderBy("rows", "gram"))).withColumn("known", F.count(F.lit(1)).over(by))
-    chosen = ranked.where((F.col("known") == F.col("grams")) & (F.col("place") <= most)).withColumn("wanted", F.least(F.col("grams"), F.lit(most)))
-    met = chosen.join(index, ["part", "gram"]).groupBy("needle_id", "part", "needle", "wanted", "id").agg(F.count(F.lit(1)).alias("found")).where("found = wanted")
-    return met.join(rows, ["id", "part"]).where(F.col("text").contains(F.col("needle"))).select("needle_id", "id", "part").distinct()
+    asked = needles.where("needle <> '' and part is not null").select("needle_id", "part", "needle").distinct()
+    # An id with several needles in a part may find a row by more than one.
+    asked = cut(asked.withColumn("again", F.count(F.lit(1)).over(Window.partitionBy("needle_id", "part")) > 1), "needles")
+    few = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    each = asked.select("part", "needle").distinct().select("part", "needle", F.size(own).alias("grams"), F.explode(own).alias("gram"))
+    counts = index.join(_held(few, each.select("part", "gram").distinct()), ["part", "gram"], "left_semi").groupBy("part", "gram").agg(F.count(F.lit(1)).alias("rows"))
+    rarest = each.join(counts, ["part", "gram"]).groupBy("part", "needle").agg(F.min(F.struct("rows", "gram"))["gram"].alias("gram"), F.count(F.lit(1)).alias("known"), F.first("grams").alias("grams"))
+    ids = asked.groupBy("part", "needle").agg(F.collect_list(F.struct("needle_id", "again")).alias("ids"))
+    chosen = cut(rarest.where("known = grams").join(ids, ["part", "needle"]).select("part", "gram", "needle", "ids"), "rarest")
+    met = index.join(_held(few, chosen.select("part", "gram").distinct()), ["part", "gram"]).groupBy("part", "id").agg(F.collect_set("gram").alias("grams"))
+    texts = rows.groupBy(F.col("part").alias("_part"), F.col("id").alias("_id")).agg(F.collect_set("text").alias("texts"))
+    both = met.join(texts, (F.col("part") == F.col("_part")) & F.col("id").eqNullSafe(F.col("_id"))).select("part", "id", "texts", "grams")
+    both = both.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    found = both.select("part", "id", "texts", F.explode("grams").alias("gram")).join(_held(few, chosen), ["part", "gram"])
+    found = found.where(F.exists("texts", lambda t: t.contains(F.col("needle")))).select("part", "id", F.explode("ids").alias("n"))
+    out = found.select("n.needle_id", "id", "part", "n.again")
+    if asked.where("again").isEmpty():
+        return out.drop("again")
+    return out.where(~F.col("again")).drop("again").unionByName(out.where("again").drop("again").distinct())
+
+
+def _held(few: bool, some: DataFrame) -> DataFrame:
+    """What is made of the needles, for broadcasting if these are few; else the join shuffles."""
+    return F.broadcast(some) if few else some
 
 
 @dataclass(frozen=True)

@@ -26,6 +26,33 @@ def test_search_finds_what_a_scan_finds(spark):
     assert found.count() == len(want)
 
 
+def _odd_search(spark):
+    texts = [(1, "a", "straw"), (1, "a", "berry"), (2, "a", "raw berry"), (None, "a", "no id, raw"), (3, None, "raw"), (4, "b", "raw"), (5, "a", None)]
+    needles = [(1, "a", "raw"), (1, "a", "berry"), (1, "b", "raw"), (2, "a", "raw"), (2, "a", "raw"), (None, "a", "berry"), (None, "a", "err"), (3, None, "raw"), (4, "a", "strawberry")]
+    rows = spark.createDataFrame(texts, "id long, part string, text string")
+    asked = spark.createDataFrame(needles, "needle_id long, part string, needle string")
+    found = search.search(asked, search.postings(rows), rows)
+    want = {(k, i, p) for k, p, n in needles for i, q, t in texts if p is not None and p == q and t is not None and n in t}
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    return found
+
+
+def test_search_with_repeated_and_null_ids(spark, monkeypatch):
+    _odd_search(spark)
+    monkeypatch.setattr(search, "MOST_BROADCAST", 0)
+    _odd_search(spark)
+
+
+def test_search_shuffles_no_pairs(spark):
+    """40 needles that all of 2,000 texts contain: 80,000 pairs, which no exchange carries."""
+    rows = spark.range(2000).select("id", F.lit("a").alias("part"), F.concat(F.lit("common text "), F.col("id").cast("string")).alias("text"))
+    needles = spark.range(40).select(F.col("id").alias("needle_id"), F.lit("a").alias("part"), F.when(F.col("id") % 2 == 0, "common").otherwise("text").alias("needle"))
+    found = search.search(needles, search.postings(rows), rows)
+    assert found.count() == 80_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("BroadcastHashJoin")]
+
+
 def test_patterns_by_needed_words_equal_the_plain_join(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(80)] + ["Açúcar", "ÀÉ", "a-b"]
