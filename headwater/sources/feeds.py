@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,15 @@ def feed_status(expected: DataFrame, read: DataFrame) -> DataFrame:
     return seen.select("name", entries.alias("entries"), why.alias("error"))
 
 
-def parse_feed(df: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """One row for each RSS, RDF or Atom entry that has a title and a url.
+def parse_feed(
+    df: DataFrame,
+    xml_col: str = "xml",
+    clean_title: Callable[[Column], Column] = X.clean_title,
+    clean_url: Callable[[Column], Column] = X.clean_url,
+    complete: bool = True,
+) -> DataFrame:
+    """One row for each RSS, RDF or Atom entry that has a title and a url, or for every one if not ``complete``: then a
+    title without text is empty, and what has no element is null.
 
     Adds ord, title, url, published (text as given), summary and categories. A tolerant scan by patterns: broken
     entities and unclosed tags inside entries do no harm.
@@ -66,13 +75,14 @@ def parse_feed(df: DataFrame, xml_col: str = "xml") -> DataFrame:
     first = lambda *names: F.coalesce(*[X.non_blank(F.regexp_extract(entry, rf"(?is)<{n}\b[^>]*>(.*?)</{n}>", 1)) for n in names])
     kinds = F.array_union(F.regexp_extract_all(entry, F.lit(r"(?is)<category\b[^>]*>(.*?)</category>"), 1), F.regexp_extract_all(entry, F.lit(r"(?is)<category\b[^>]*term=[\"']([^\"']*)[\"']"), 1))
     out = rows.withColumns({
-        "title": X.clean_title(first("title")),
-        "url": X.clean_url(X.decode_entities(X.unwrap_cdata(link))),
+        "title": F.coalesce(clean_title(first("title")), F.when(entry.rlike(r"(?i)<title\b"), "")),
+        "url": clean_url(X.decode_entities(X.unwrap_cdata(link))),
         "published": first("pubDate", "dc:date", "published", "updated"),
         "summary": X.clean_summary(first("description", "summary", "content:encoded", "content")),
-        "categories": F.filter(F.transform(kinds, X.clean_title), lambda c: c != ""),
+        "categories": F.filter(F.transform(kinds, lambda k: X.clean_title(k)), lambda c: c != ""),
     })
-    return out.where((F.coalesce("title", F.lit("")) != "") & F.col("url").isNotNull()).drop("_entry")
+    kept = out.where((F.coalesce("title", F.lit("")) != "") & F.col("url").isNotNull()) if complete else out
+    return kept.drop("_entry")
 
 
 def embedded_snapshot(html: Column, schema: str = SNAPSHOT_SCHEMA) -> Column:
